@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, simhash_dedup, token_counts, toxicity, warc
+from millrace.llm import packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from millrace.llm.common import table
 
 
@@ -17,10 +17,18 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -29,7 +37,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_simhash_dedup, op7_packing, op9_warc, op10_token_counts)}
+_ALL = (op2_toxicity, op3_simhash_dedup, op5_substring_dedup, op7_packing, op8_suffix_dedup, op9_warc, op10_token_counts)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op9_warc": """
