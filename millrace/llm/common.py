@@ -120,6 +120,19 @@ def laid_out(column) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def slices(column, limit: int = 1 << 20):
+    """(bytes, bounds, first, last) of runs of an Arrow column's texts with about ``limit`` bytes each.
+
+    Working arrays are many times as large as the text, so batches are worked on in such parts.
+    """
+    data, bounds = laid_out(column)
+    k = 0
+    while k < len(column):
+        end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + limit, side="right")) - 1)
+        yield data[bounds[k] : bounds[end]], bounds[k : end + 1] - bounds[k], k, end
+        k = end
+
+
 def word_ranges(
     data: np.ndarray, doc_starts: np.ndarray, separator: np.ndarray = SEPARATOR
 ) -> tuple[np.ndarray, np.ndarray]:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, warc
+from millrace.llm import decontaminate, license_scan, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from millrace.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -17,10 +22,22 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: the neighbours of one source and language share a directory, and any
+    that holds a notice states its licence."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 200).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.withColumn("path", path), stating="any")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,7 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_toxicity, op3_simhash_dedup, op5_substring_dedup, op7_packing, op8_suffix_dedup, op9_warc, op10_token_counts)
+_ALL = (
+    op1_quality_rules, op2_toxicity, op3_simhash_dedup, op4_decontaminate, op5_substring_dedup, op6_license_scan, op7_packing,
+    op8_suffix_dedup, op9_warc, op10_token_counts,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
