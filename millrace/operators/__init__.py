@@ -1,0 +1 @@
+"""Relational operators as compositions of DataFrame operations."""

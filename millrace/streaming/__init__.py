@@ -1,0 +1 @@
+"""Reserved: every operator of this engine is a batch operator; tables of events are read as batches."""

@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory) -> SparkSession:
+    shared = tmp_path_factory.mktemp("spark")
+    return (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "4g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
+        .config("spark.checkpoint.dir", str(shared / "checkpoint"))
+        .getOrCreate()
+    )
+
+
+@pytest.fixture(scope="session")
+def sf_dir() -> str:
+    return str(DATA)
+
+
+@pytest.fixture(scope="session")
+def duck():
+    """A connection with a view of each test table."""
+    connection = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        connection.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
+@pytest.fixture(scope="session")
+def same_rows():
+    """Asserts that a DataFrame and a DuckDB relation have equal columns, types and rows in any order."""
+
+    def check(df, relation, may_be_empty: bool = True):
+        names = sorted(df.columns)
+        assert names == sorted(relation.columns)
+        kinds = dict(zip(relation.columns, map(str, relation.types), strict=True))
+        assert {c: k for c, k in df.dtypes} == {c: KINDS[kinds[c]] for c in names}
+        at = [relation.columns.index(c) for c in names]
+        want = sorted((tuple(row[k] for k in at) for row in relation.fetchall()), key=repr)
+        got = sorted((tuple(r) for r in df.select(*[df[f"`{c}`"] for c in names]).collect()), key=repr)
+        assert got == want
+        assert got or may_be_empty
+
+    return check
