@@ -1,38 +1,21 @@
 """Scratch tables, byte and word hashing, and bounded work units shared by the operators.
 
-Scratch tables live under the folder that ``spark.checkpoint.dir`` names, which every
-executor sees.  Only where that is unset and Spark runs in one process is a local folder made.
+Scratch tables live under the folder that ``spark.checkpoint.dir`` names, which every executor sees.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a scratch table in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            base = kept
-        elif spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
