@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, laid_out, word_ranges
+from millrace.llm.common import RangeHash, slices, word_ranges
 
 BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -197,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_column: str
 
     def hashed(batches):
         for batch in batches:
-            ids, bounds = features(*laid_out(batch.column(0)))
-            values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel()))
-            yield pa.RecordBatch.from_arrays([values, *batch.columns[1:]], ["ids", "lang", "toxic", "fold"])
+            for data, bounds, a, b in slices(batch.column(0)):
+                ids, bounds = features(data, bounds)
+                values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel()))
+                yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "lang", "toxic", "fold"])
 
     got = rows.mapInArrow(hashed, "ids array<int>, lang string, toxic int, fold int").toArrow().combine_chunks()
     y, part = got.column("toxic").to_numpy().astype(np.float32), got.column("fold").to_numpy()
@@ -238,7 +239,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
     def apply(batches):
         m = shared.value
         for batch in batches:
-            s = m.scores(*features(*laid_out(batch.column("_text"))))
+            s = np.concatenate([np.zeros(0), *(m.scores(*features(data, bounds)) for data, bounds, *_ in slices(batch.column("_text")))])
             limits = [m.thresholds.get(x, m.threshold) for x in batch.column("_lang").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(s), pa.array(limits, pa.float64())], [*batch.schema.names[:-2], "_score", "_threshold"])
 
