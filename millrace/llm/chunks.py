@@ -16,26 +16,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import laid_out, scratch, text_bytes
+from millrace.llm.common import laid_out, quoted, removed, scratch, text_bytes
 
 CELL_BITS = 28
-CHUNK = "chunk long, ids array<long>, lengths array<int>, body binary, notes binary"
+CHUNK = "chunk long, ids array<long>, lengths array<int>, body binary, notes binary, rest binary"
 
 
 class ChunkTable:
     """Whole texts in chunks of about ``chunk_bytes``; one longer text is a chunk of its own.
 
-    ``note(data, bounds)`` may add a packed value that later passes read instead of working it out again.
+    ``note(data, bounds)`` may add a packed value that later passes read instead of working it out
+    again.  With ``carry`` the other columns of ``docs`` travel with their texts.
     """
 
     def __init__(
-        self, docs: DataFrame, note: Callable | None = None, chunk_bytes: int = 4 << 20, id_column: str = "doc_id", text_column: str = "text"
-    ):
+        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int = 4 << 20,
+        id_column: str = "doc_id", text_column: str = "text",
+    ):
         self.spark = docs.sparkSession
         self.total = text_bytes(docs, text_column)
         self.buckets = int(np.clip(self.total // (2 * chunk_bytes), 1, 100_000))
@@ -58,7 +62,8 @@ class ChunkTable:
             if held:
                 yield packed((part << 32) + nth, held, note)
 
-        frame = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+        rest = [F.col(quoted(c)) for c in docs.columns if c != text_column] if carry else []
+        frame = docs.select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
         writer = frame.mapInArrow(gather, CHUNK).write.bucketBy(self.buckets, "chunk").option("path", self.path)
         writer.format("parquet").saveAsTable(self.name)
 
@@ -74,29 +79,39 @@ class ChunkTable:
         return self.rows().join(moved.agg(F.collect_list(F.struct("page", "blob")).alias("answers")), "chunk", "left")
 
     def drop(self) -> None:
-        from millrace.llm.common import removed
-
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         removed(self.spark, self.path)
 
 
 def packed(chunk: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(held).combine_chunks().sort_by([("id", "ascending")])
-    rows = rows.combine_chunks().to_batches()[0]
+    rows = pa.concat_batches(held)
+    rows = rows.take(pc.sort_indices(rows.column(0), null_placement="at_end"))
     data, bounds = laid_out(rows.column(1))
     body = zstandard.ZstdCompressor(level=1).compress(data.tobytes())
     ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(0))
     lengths = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(np.diff(bounds).astype(np.int32)))
     notes = pa.array([note(data, bounds) if note else None], pa.binary())
-    arrays = [pa.array([chunk], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes]
-    return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "lengths", "body", "notes"])
+    rest = None
+    if rows.num_columns > 2:
+        others = pa.RecordBatch.from_arrays(rows.columns[2:], rows.schema.names[2:])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, others.schema) as stream:
+            stream.write_batch(others)
+        rest = sink.getvalue().to_pybytes()
+    arrays = [pa.array([chunk], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes, pa.array([rest], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "lengths", "body", "notes", "rest"])
 
 
 class Chunk:
-    """One chunk row: document ids, bytes laid end to end, bounds of the texts, notes, answers by page."""
+    """One chunk row: document ids, bytes laid end to end, bounds of the texts, notes, answers by page, other columns."""
+
+    def __init__(self, chunk: int, ids: pa.Array, data: np.ndarray, bounds: np.ndarray, notes: bytes | None, answers: dict[int, bytes], rest: bytes | None):
+        self.chunk, self.ids, self.data, self.bounds, self.notes, self.answers, self._rest = chunk, ids, data, bounds, notes, answers, rest
 
-    def __init__(self, chunk: int, ids: pa.Array, data: np.ndarray, bounds: np.ndarray, notes: bytes | None, answers: dict[int, bytes]):
-        self.chunk, self.ids, self.data, self.bounds, self.notes, self.answers = chunk, ids, data, bounds, notes, answers
+    @property
+    def rest(self) -> pa.RecordBatch:
+        with pa.ipc.open_stream(self._rest) as stream:
+            return stream.read_next_batch()
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -110,8 +125,8 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(bounds[-1])) if bounds[-1] else b""
             answers = batch.column(names.index("answers"))[k].as_py() if "answers" in names else None
             answered = {a["page"]: a["blob"] for a in answers or ()}
-            notes = batch.column(names.index("notes"))[k].as_py()
-            yield Chunk(batch.column(names.index("chunk"))[k].as_py(), ids, np.frombuffer(raw, dtype=np.uint8), bounds, notes, answered)
+            chunk, notes, rest = (batch.column(names.index(c))[k].as_py() for c in ("chunk", "notes", "rest"))
+            yield Chunk(chunk, ids, np.frombuffer(raw, dtype=np.uint8), bounds, notes, answered, rest)
 
 
 def located(hashes: np.ndarray, pages: int) -> np.ndarray:
@@ -216,3 +231,9 @@ def numbered(passes: list[DataFrame]) -> DataFrame:
 
 def sorted_out(answers: dict[int, bytes], n: int) -> list[dict[int, bytes]]:
     return [{p // n: b for p, b in answers.items() if p % n == k} for k in range(n)]
+
+
+def with_text(columns: list[str], chunk: Chunk, texts: list[str], text_column: str) -> pa.RecordBatch:
+    """Rows with other texts, from a chunk that carries the other columns."""
+    at, others = columns.index(text_column), list(chunk.rest.columns) if len(columns) > 1 else []
+    return pa.RecordBatch.from_arrays([*others[:at], pa.array(texts, pa.string()), *others[at:]], columns)

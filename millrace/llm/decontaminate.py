@@ -140,6 +140,20 @@ class Benchmark:
             yield number, s, start, n
 
 
+def item_blocks(benchmark: DataFrame, text_column: str, block_bytes: int) -> Iterator[list[str]]:
+    """The distinct item texts, in blocks of about ``block_bytes``."""
+    held, size = [], 0
+    distinct = benchmark.where(F.col(text_column).isNotNull()).select(F.col(text_column).alias("item_text")).distinct()
+    for (text,) in distinct.orderBy("item_text").toLocalIterator():
+        held.append(text)
+        size += len(text.encode())
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5, radius: int = 24, block_bytes: int = 32 << 20,
     id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text",
@@ -156,7 +170,7 @@ def contaminated(
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, id_column), (benchmark, item_column))]
     names = benchmark.where(F.col(text_column).isNotNull()).select(F.col(item_column).alias("item"), F.col(text_column).alias("item_text"))
     schema = f"id {kinds[0]}, number int, similarity double, first_word long, n_words long"
-    frame, found, held, size_held = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), [], [], 0
+    frame = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def search(texts: list[str]) -> DataFrame:
         shared = spark.sparkContext.broadcast(texts)
@@ -168,25 +182,39 @@ def contaminated(
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 kind = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], kind, strict=True))], ["id", "number", "similarity", "first_word", "n_words"])
+                found = (pa.array(c, t) for c, t in zip(columns[1:], kind, strict=True))
+                yield pa.RecordBatch.from_arrays([ids, *found], ["id", "number", "similarity", "first_word", "n_words"])
 
+        # as many rows as a block has items
         numbered = spark.createDataFrame(list(enumerate(texts)), "number int, item_text string")
         items = names.join(F.broadcast(numbered), "item_text").select("number", "item")
-        return frame.mapInArrow(look, schema).join(F.broadcast(items), "number")
+        return frame.mapInArrow(look, schema).join(items, "number")
 
-    for (text,) in names.select("item_text").distinct().orderBy("item_text").toLocalIterator():
-        held.append(text)
-        size_held += len(text.encode())
-        if size_held >= block_bytes:
-            found.append(search(held))
-            held, size_held = [], 0
-    if held or not found:
-        found.append(search(held))
-    everything = reduce(DataFrame.union, found)
+    found = [search(texts) for texts in item_blocks(benchmark, text_column, block_bytes)]
+    if not found:
+        found = [spark.createDataFrame([], f"number int, {schema.replace(', number int', '')}, item {kinds[1]}")]
+    everything = reduce(DataFrame.unionByName, found)
     return everything.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "similarity", "first_word", "n_words")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id has no match; null ids are kept."""
-    ids = contaminated(docs, benchmark, id_column=id_column, **options).select(id_column).distinct()
-    return docs.join(ids, id_column, "left_anti").select(*docs.columns)
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5, radius: int = 24, block_bytes: int = 32 << 20, text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that match no item; a narrow pass for each block of items."""
+    at = docs.columns.index(text_column)
+
+    def without(rows: DataFrame, texts: list[str]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(texts)
+
+        def keep(batches):
+            index = Benchmark(shared.value, size, threshold, radius)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for data, bounds, a, _ in slices(batch.column(at)):
+                    for k, *_ in index.matches(data, bounds):
+                        clean[k + a] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(keep, docs.schema)
+
+    return reduce(without, item_blocks(benchmark, text_column, block_bytes), docs)

@@ -7,8 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import SEPARATOR, saved, word_ranges
+from millrace.llm.common import SEPARATOR, fresh, quoted, saved, word_ranges
 from millrace.llm.graph import components
 
 #: The positions 1 to 63 of the perfect binary Hamming code of length 63, as bits of a fingerprint.
@@ -126,6 +127,13 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return met.select("held").mapInArrow(compare, "u long, v long").distinct()
 
 
+def labelled(marked: DataFrame, distance: int) -> DataFrame:
+    """Rows (fingerprint, label): equal labels for fingerprints that links connect."""
+    distinct = saved(marked.select("fingerprint").distinct(), "distinct")
+    joined = components(links(distinct, distance)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(joined, "fingerprint", "left").select("fingerprint", F.coalesce("label", "fingerprint").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, fingerprint, component_id), one for each input row, whole texts.
 
@@ -135,11 +143,34 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_column: str = "doc_id
     gives no rows and other columns are ignored.
     """
     marked = saved(fingerprints(docs, id_column, text_column), "fingerprints")
-    distinct = saved(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    joined = components(links(distinct, distance))
-    labelled = distinct.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    labelled = labelled.select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "label").select("fingerprint", "component_id")
+    labels = saved(labelled(marked, distance), "labels")
+    # ids are combined by fingerprint, then by label, before rows meet: a fingerprint that a third of
+    # the rows share is one row here
+    least = marked.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    least = labels.join(least, "fingerprint").groupBy("label").agg(F.min("least").alias("component_id"))
+    of = labels.join(least, "label").select("fingerprint", "component_id")
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
     return marked.join(of, "fingerprint").select(F.col("id").alias(id_column), hexed, "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row with the smallest id of each component, all columns; of equal ids any one, nulls last.
+
+    Rows are told apart by a number written with them, so repeated ids and rows are no matter.
+    """
+    columns, at = docs.columns, docs.columns.index(text_column)
+    mark, row = fresh(columns, "fingerprint"), fresh(columns, "row")
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
+
+    def add(batches):
+        for batch in batches:
+            f = np.array([fingerprint(t.as_py()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], [*batch.schema.names, mark])
+
+    kept = saved(docs.mapInArrow(add, schema).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    marked = kept.select(F.col(quoted(mark)).alias("fingerprint"), F.col(quoted(id_column)).alias("id"), F.col(quoted(row)).alias("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+    by_print = marked.groupBy("fingerprint").agg(first)
+    least = labelled(marked, distance).join(by_print, "fingerprint").groupBy("label").agg(F.min("first").alias("first"))
+    chosen = least.select(F.col("first.row").alias(row))
+    return kept.join(chosen, row, "left_semi").select(*[F.col(quoted(c)) for c in columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import (
-    CELL_BITS, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack,
+    CELL_BITS, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
 )
 from millrace.llm.common import RangeHash, saved, word_ranges
 
@@ -63,9 +63,9 @@ class SubstringDedup:
     def __init__(self, size: int = 35, page_items: int = 4 << 20):
         self.size, self.page_items = size, page_items
 
-    def run(self, docs: DataFrame, use, schema: str, **names) -> DataFrame:
-        """``use(ids, data, starts, ends, first, gone)`` makes a batch for each chunk; the result is a written table."""
-        chunks, size = ChunkTable(docs, **names), self.size
+    def run(self, docs: DataFrame, use, schema, carry: bool = False, **names) -> DataFrame:
+        """``use(chunk, starts, ends, first, gone)`` makes a batch for each chunk; the result is a written table."""
+        chunks, size = ChunkTable(docs, carry=carry, **names), self.size
         pages = chunks.pages(chunks.total // 6, self.page_items)
 
         def distinct(h, digest):
@@ -142,34 +142,23 @@ class SubstringDedup:
                 truly = np.zeros(len(cells), dtype=bool)
                 truly[likely] = bits(passes[1], cells[likely])
                 gone = covered(at[truly[which]] if len(at) else at, size, len(starts))
-                yield use(c.ids, c.data, starts, ends, words, gone)
+                yield use(c, starts, ends, words, gone)
 
         result = saved(chunks.answered(numbered([first, second])).mapInArrow(finish, schema), "substring-dedup")
         chunks.drop()
         return result
 
 
-def digest_rows(ids, data, starts, ends, first, gone) -> pa.RecordBatch:
-    raw, kept = data.tobytes(), []
+def digest_rows(c, starts, ends, first, gone) -> pa.RecordBatch:
+    raw, kept = c.data.tobytes(), []
     for a, b in pairwise(first.tolist()):
         words = np.flatnonzero(~gone[a:b]) + a
         kept.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[words].tolist(), ends[words].tolist(), strict=True)])).hexdigest())
     totals = np.concatenate([[0], np.cumsum(gone)])
-    arrays = [ids, pa.array(np.diff(first)), pa.array(np.diff(totals[first])), pa.array(kept, pa.string())]
+    arrays = [c.ids, pa.array(np.diff(first)), pa.array(np.diff(totals[first])), pa.array(kept, pa.string())]
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def text_rows(ids, data, starts, ends, first, gone) -> pa.RecordBatch:
-    raw, kept, spans = data.tobytes(), [], []
-    for a, b in pairwise(first.tolist()):
-        words = np.flatnonzero(~gone[a:b]) + a
-        kept.append(b" ".join([raw[s:e] for s, e in zip(starts[words].tolist(), ends[words].tolist(), strict=True)]).decode())
-        edges = np.diff(np.concatenate([[0], gone[a:b], [0]]).astype(np.int8))
-        spans.append([{"start": s, "end": e} for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), pa.array(spans, kind)], ["doc_id", "text", "removed"])
-
-
 def removed_digests(docs: DataFrame, size: int = 35, **names) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256), one for each input row, whole texts.
 
@@ -180,6 +169,22 @@ def removed_digests(docs: DataFrame, size: int = 35, **names) -> DataFrame:
     return SubstringDedup(size).run(docs, digest_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string", **names)
 
 
-def without_repeats(docs: DataFrame, size: int = 35, **names) -> DataFrame:
-    """Rows (doc_id, text, removed): the words left, joined by single spaces, and the word spans removed."""
-    return SubstringDedup(size).run(docs, text_rows, "doc_id long, text string, removed array<struct<start:long,end:long>>", **names)
+def without_repeats(docs: DataFrame, size: int = 35, text_column: str = "text", **names) -> DataFrame:
+    """The rows of ``docs``, all columns, with the words left joined by single spaces.
+
+    Texts that lose no word are unchanged, null ones stay empty.
+    """
+
+    columns = docs.columns
+
+    def rows(c, starts, ends, first, gone) -> pa.RecordBatch:
+        raw, kept = c.data.tobytes(), []
+        for (a, b), (from_, to) in zip(pairwise(first.tolist()), pairwise(c.bounds.tolist()), strict=True):
+            if gone[a:b].any():
+                words = np.flatnonzero(~gone[a:b]) + a
+                kept.append(b" ".join([raw[s:e] for s, e in zip(starts[words].tolist(), ends[words].tolist(), strict=True)]).decode())
+            else:
+                kept.append(raw[from_:to].decode())
+        return with_text(columns, c, kept, text_column)
+
+    return SubstringDedup(size).run(docs, rows, docs.schema, carry=True, text_column=text_column, **names)

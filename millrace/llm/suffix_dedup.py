@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import (
-    CELL_BITS, Chunk, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack,
+    CELL_BITS, Chunk, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
 )
 from millrace.llm.common import RangeHash, saved
 
@@ -220,15 +220,15 @@ class SuffixDedup:
             raise ValueError("windows of 16 to 256 bytes")
         self.size, self.page_items, self.page_bytes, self.hot = size, page_items, page_bytes, hot
 
-    def run(self, docs: DataFrame, use, schema: str, **names) -> DataFrame:
-        """``use(ids, data, bounds, gone)`` makes a batch for each chunk; the result is a written table."""
+    def run(self, docs: DataFrame, use, schema, carry: bool = False, **names) -> DataFrame:
+        """``use(chunk, gone)`` makes a batch for each chunk; the result is a written table."""
         size, hot = self.size, self.hot
 
         def note(data, bounds):
             lo, hi, anchor = contexts(data, bounds, size)
             return pack(lo.astype(np.uint32), (hi - lo).astype(np.uint8), (anchor - lo).astype(np.uint8))
 
-        chunks = ChunkTable(docs, note, **names)
+        chunks = ChunkTable(docs, note, carry, **names)
         pages = chunks.pages(chunks.total // (size // 4), self.page_items)
         text_pages = chunks.pages(chunks.total, self.page_bytes)
 
@@ -367,7 +367,7 @@ class SuffixDedup:
                         place = np.repeat(v.lo[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
                         flags = np.unpackbits(np.frombuffer(passes[2][page], np.uint8), count=len(place)).astype(bool)
                         cover(place[flags], place[flags] + size)
-                yield use(c.ids, c.data, c.bounds, np.cumsum(steps[:-1]) > 0)
+                yield use(c, np.cumsum(steps[:-1]) > 0)
 
         first = saved(answer(ask(chunks.rows(), count), weigh), "anchors")
         second = saved(answer(ask(chunks.answered(first), detail), resolve), "contexts")
@@ -382,27 +382,17 @@ def spans(gone: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
 
 
-def digest_rows(ids, data, bounds, gone) -> pa.RecordBatch:
+def digest_rows(c, gone) -> pa.RecordBatch:
     removed, runs, kept = [], [], []
-    for a, b in pairwise(bounds.tolist()):
-        mine = gone[a:b]
+    for a, b in pairwise(c.bounds.tolist()):
+        mine, data = gone[a:b], c.data[a:b]
         removed.append(int(mine.sum()))
         runs.append(len(spans(mine)[0]) if removed[-1] else 0)
-        kept.append(hashlib.sha256((data[a:b][~mine] if removed[-1] else data[a:b]).tobytes()).hexdigest())
-    arrays = [ids, pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
+        kept.append(hashlib.sha256((data[~mine] if removed[-1] else data).tobytes()).hexdigest())
+    arrays = [c.ids, pa.array(np.diff(c.bounds)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())]
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def text_rows(ids, data, bounds, gone) -> pa.RecordBatch:
-    kept, found = [], []
-    for a, b in pairwise(bounds.tolist()):
-        mine = gone[a:b]
-        kept.append(data[a:b][~mine].tobytes())
-        found.append([{"start": s, "end": e} for s, e in zip(*spans(mine), strict=True)])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()), pa.array(found, kind)], ["doc_id", "body", "removed"])
-
-
 def removed_digests(docs: DataFrame, size: int = 100, **names) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each input row, whole texts.
 
@@ -413,6 +403,20 @@ def removed_digests(docs: DataFrame, size: int = 100, **names) -> DataFrame:
     return SuffixDedup(size).run(docs, digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **names)
 
 
-def without_repeats(docs: DataFrame, size: int = 100, **names) -> DataFrame:
-    """Rows (doc_id, body, removed): the bytes left, which may break a character, and the byte spans removed."""
-    return SuffixDedup(size).run(docs, text_rows, "doc_id long, body binary, removed array<struct<start:long,end:long>>", **names)
+def without_repeats(docs: DataFrame, size: int = 100, text_column: str = "text", **names) -> DataFrame:
+    """The rows of ``docs``, all columns, with the texts that the cuts leave.
+
+    The bytes of a character that a cut breaks go too.  Texts that lose nothing are unchanged, null
+    ones stay empty.
+    """
+
+    columns = docs.columns
+
+    def rows(c, gone) -> pa.RecordBatch:
+        kept = []
+        for a, b in pairwise(c.bounds.tolist()):
+            mine = gone[a:b]
+            kept.append((c.data[a:b][~mine] if mine.any() else c.data[a:b]).tobytes().decode("utf-8", "ignore"))
+        return with_text(columns, c, kept, text_column)
+
+    return SuffixDedup(size).run(docs, rows, docs.schema, carry=True, text_column=text_column, **names)

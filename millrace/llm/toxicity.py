@@ -182,7 +182,7 @@ def fold(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> ToxicityModel:
     """Train on at most ``max_rows`` labelled rows, the first by a hash of their ids, whole texts.
 
     Rows of fold 0 are never used.  Fold 1 does not train the network: it calibrates a threshold
@@ -225,40 +225,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_column: str
     return ToxicityModel(network, by, best_threshold(s, t))
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", language: str = "lang", keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> DataFrame:
     """Rows (id, held_out, score, predicted, threshold, flagged), one for each input row, whole texts.
 
     ``score`` depends on the text alone; ``flagged`` compares it with the language's threshold, or
     with the general one where the language is null or was not calibrated.  A null or empty text
     has the score of no word at all.  Null ids are not held out.  Equal rows stay apart, an empty
-    table gives no rows; other columns are ignored, or all kept (under their names) with ``keep``.
+    table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, tongue = docs.columns.index(text_column), docs.columns.index(language) if language in docs.columns else None
 
     def apply(batches):
-        m = shared.value
         for batch in batches:
-            s = np.concatenate([np.zeros(0), *(m.scores(*features(data, bounds)) for data, bounds, *_ in slices(batch.column("_text")))])
-            limits = [m.thresholds.get(x, m.threshold) for x in batch.column("_lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(s), pa.array(limits, pa.float64())], [*batch.schema.names[:-2], "_score", "_threshold"])
-
-    spoken = F.lit(None).cast("string") if tongue is None else F.col(docs.columns[tongue]).cast("string")
-    kept = docs.columns if keep else [id_column]
-    frame = docs.select(*kept, F.col(docs.columns[at]).alias("_text"), spoken.alias("_lang"))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("_score", T.DoubleType()), T.StructField("_threshold", T.DoubleType())])
-    scored = frame.mapInArrow(apply, schema)
-    flagged = (F.col("_score") >= F.col("_threshold")).alias("flagged")
-    if keep:
-        return scored.select(*kept, F.col("_score").alias("_toxicity"), flagged.alias("_flagged"))
+            s, limits = verdicts(shared.value, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(limits)], ["id", "score", "threshold"])
+
+    tongue = F.col(language) if language in docs.columns else F.lit(None)
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), tongue.cast("string").alias("lang"))
+    scored = rows.mapInArrow(apply, f"id {kind}, score double, threshold double")
     return scored.select(
-        id_column, F.coalesce(fold(id_column) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_threshold").alias("threshold"), flagged,
+        F.col("id").alias(id_column), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"),
     )
 
 
-def without_toxic(docs: DataFrame, model: ToxicityModel, **names) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not flagged."""
-    return score(docs, model, keep=True, **names).where(~F.col("_flagged")).select(*docs.columns)
+def verdicts(model: ToxicityModel, texts: pa.Array, languages: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    scores = [model.scores(*features(data, bounds)) for data, bounds, *_ in slices(texts)]
+    limits = [model.thresholds.get(x, model.threshold) for x in languages.to_pylist()]
+    return np.concatenate([np.zeros(0), *scores]), np.array(limits, dtype=np.float64)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_column: str = "text", language: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not flagged; one narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+    spoken = docs.columns.index(language) if language in docs.columns else None
+
+    def keep(batches):
+        for batch in batches:
+            languages = pa.nulls(batch.num_rows, pa.string()) if spoken is None else batch.column(spoken)
+            s, limits = verdicts(shared.value, batch.column(at), languages)
+            yield batch.filter(pa.array(s < limits))
+
+    return docs.mapInArrow(keep, docs.schema)
