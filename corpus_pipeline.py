@@ -17,28 +17,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the document with the smallest id stays.
 
-    Wordless texts all have one fingerprint and so leave one; repeated ids keep their first row by text.
+    Wordless texts all have one fingerprint, and so leave one.
     """
-    found = simhash_dedup.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    left = docs.join(kept, same, "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    return simhash_dedup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that stand earlier are cut out; characters that a cut breaks go, emptied documents too."""
-    left = suffix_dedup.without_repeats(docs)
-    text = F.try_validate_utf8(F.col("body").cast("string"))
-    whole = F.when(text.isNotNull(), text).otherwise(F.replace(F.make_valid_utf8(F.col("body").cast("string")), F.lit("�"), F.lit("")))
-    changed = left.where(F.size("removed") > 0).select("doc_id", whole.alias("_left"))
-    joined = docs.join(changed.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    cut = F.col("_left").isNotNull()
-    columns = {
-        "text": F.when(cut, F.col("_left")).otherwise(F.col("text")).alias("text"),
-        "n_chars": F.when(cut, F.length("_left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
-    }
-    return joined.where(~cut | (F.trim("_left") != "")).select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    """Byte strings that stand earlier are cut out of the texts; texts that nothing is left of stay, empty."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
