@@ -214,7 +214,7 @@ def pack(
     plan = docs.sparkSession.sparkContext.broadcast(placements(plan_packing(histogram, capacity)))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "part"]).select(
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
 
