@@ -62,7 +62,8 @@ class ChunkTable:
             if held:
                 yield packed((part << 32) + nth, held, note)
 
-        rest = [F.col(quoted(c)) for c in docs.columns if c != text_column] if carry else []
+        others = [c for c in docs.columns if c != text_column] if carry else []
+        rest = [F.col(quoted(c)).alias(f"rest{k}") for k, c in enumerate(others)]
         frame = docs.select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
         writer = frame.mapInArrow(gather, CHUNK).write.bucketBy(self.buckets, "chunk").option("path", self.path)
         writer.format("parquet").saveAsTable(self.name)
@@ -154,7 +155,7 @@ def pack(*columns: np.ndarray) -> bytes:
         if k == 0:
             c = np.diff(c, prepend=c.dtype.type(0))
         # planes of equal bytes compress where whole numbers do not
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes())
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -168,7 +169,7 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
             out.append(np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n).astype(bool))
         else:
             size = n * kind.itemsize
-            c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(-1, n).T).view(kind).ravel()
+            c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).ravel()
             out.append(np.cumsum(c, dtype=kind) if k == 0 else c)
         at += size
     return out

@@ -72,30 +72,43 @@ class TextCnn:
             out.append(r + offset)
         return out
 
+    def laid_out(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embedded texts one after another, each with ``PAD`` zero rows after it; an empty one is a zero row.
+
+        Gives the rows, each word's row, and the first row and number of window starts of each text.
+        """
+        n = np.maximum(lengths, 1)
+        first = np.concatenate([[0], np.cumsum(n + PAD)])
+        place = np.arange(len(ids)) + np.repeat(first[:-1] - (np.cumsum(lengths) - lengths), lengths)
+        rows = np.zeros((first[-1], self.embedding.shape[1]), dtype=np.float32)
+        rows[place] = self.embedded(ids)
+        return rows, place, first[:-1], n
+
     def pooled(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1 << 17) -> np.ndarray:
         """Maximum responses of each text, all windows counted; memory is bounded by ``block`` words."""
-        n, width = len(bounds) - 1, sum(w.shape[2] for w in self.filters)
-        best = np.full((n, width), -np.inf, dtype=np.float32)
+        n, out = len(bounds) - 1, []
         k = 0
         while k < n:
             end = k + 1
             while end < n and bounds[end + 1] - bounds[k] <= block:
                 end += 1
             a, b = int(bounds[k]), int(bounds[end])
-            for at in range(a, max(b, a + 1), block):  # one long text, in blocks that overlap
-                to = min(b, at + block)
-                more = min(b, to + PAD) if end == k + 1 else b
-                inner = np.clip(bounds[k : end + 1], at, to) - at
-                lengths = np.diff(inner)
-                # the zero rows after each text are its padding
-                place = np.arange(more - at) + PAD * np.repeat(np.arange(end - k), np.append(lengths[:-1], more - at - inner[-2]))
-                rows = np.zeros((more - at + PAD * (end - k) + 1, self.embedding.shape[1]), dtype=np.float32)
-                rows[place] = self.embedded(ids[at:more])
-                first = inner[:-1] + PAD * np.arange(end - k)
-                each = [np.maximum.reduceat(r, first, axis=0) for r in self.responses(rows)]
-                best[k:end] = np.maximum(best[k:end], np.concatenate(each, axis=1))
+            if end > k + 1 or b - a <= block:
+                rows, _, first, starts = self.laid_out(ids[a:b], np.diff(bounds[k : end + 1]))
+                # maxima of every other stretch: a text's window starts, then its padding
+                cuts = np.stack([first, first + starts], axis=1).ravel()[:-1]
+                out.append(np.concatenate([np.maximum.reduceat(r, cuts, axis=0)[::2] for r in self.responses(rows)], axis=1))
+            else:
+                best = []
+                for at in range(a, b, block):  # one long text, in blocks whose windows reach into the next
+                    to = min(b, at + block)
+                    rows = np.zeros((to - at + PAD, self.embedding.shape[1]), dtype=np.float32)
+                    reach = ids[at : min(b, to + PAD)]
+                    rows[: len(reach)] = self.embedded(reach)
+                    best.append(np.concatenate([r.max(axis=0) for r in self.responses(rows)]))
+                out.append(np.max(best, axis=0)[None])
             k = end
-        return best
+        return np.concatenate(out) if out else np.zeros((0, len(self.dense)), dtype=np.float32)
 
     def scores(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         z = np.maximum(self.pooled(ids, bounds), 0) @ self.dense + self.bias
@@ -107,20 +120,16 @@ class TextCnn:
         weights = [self.embedding, *self.filters, *self.offsets, self.dense]
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         weight = min(5.0, max(1.0, float((labels == 0).sum() / max(1, (labels == 1).sum())) ** 0.5))
-        size, step = self.embedding.shape[1], 0
+        step = 0
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for begin in range(0, len(order), batch):
                 chosen = order[begin : begin + batch]
-                lengths = np.array([len(docs[i]) for i in chosen])
-                first_row = np.concatenate([[0], np.cumsum(lengths + PAD)])
                 ids = np.concatenate([docs[i] for i in chosen])
-                place = np.arange(len(ids)) + PAD * np.repeat(np.arange(len(chosen)), lengths)
-                rows = np.zeros((first_row[-1] + 1, size), dtype=np.float32)
-                rows[place] = self.embedded(ids)
+                rows, place, first_row, starts = self.laid_out(ids, np.array([len(docs[i]) for i in chosen]))
                 at, values = [], []
                 for r in self.responses(rows):
-                    a = np.stack([r[s : max(s + 1, e - PAD)].argmax(axis=0) + s for s, e in zip(first_row[:-1], first_row[1:], strict=True)])
+                    a = np.stack([r[f : f + n].argmax(axis=0) + f for f, n in zip(first_row, starts, strict=True)])
                     at.append(a)
                     values.append(np.take_along_axis(r, a, axis=0))
                 pooled = np.maximum(np.concatenate(values, axis=1), 0)
@@ -140,8 +149,7 @@ class TextCnn:
                     grads.append(g)
                     d_offsets.append(d.sum(axis=0))
                 touched = np.flatnonzero(np.abs(d_rows[place]).sum(axis=1))
-                d_embedding = np.zeros_like(self.embedding) if step == 0 else d_embedding
-                d_embedding[:] = 0
+                d_embedding = np.zeros_like(self.embedding)
                 for c in range(ids.shape[1]):
                     np.add.at(d_embedding, ids[touched, c], d_rows[place[touched]] / ids.shape[1])
                 step += 1

@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import types as T
+
+#: Columns whose names the operators use inside, to clash with.
+CLASHING = ["id", "row", "chunk", "page", "label", "fingerprint", "score", "threshold", "term", "u", "v", "part", "nth", "notes", "_text", "first", "item"]
+SCHEMA = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+     T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in CLASHING]]
+)
+WORDS = [a + b for a in ("the", "ab", "é", "straße", "x1", "no", "quo", "zu") for b in ("", "ra", "ñi", "ing", "t", "llo", "—", "s,", "o.")]
+
+
+def words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def rows_of(texts) -> list[tuple]:
+    return [(i, t, lang, f"src{(i or 0) % 3}", len(t) if t is not None else None, *[k] * len(CLASHING)) for k, (i, t, lang) in enumerate(texts)]
+
+
+def made_up(seed: int = 5) -> list[tuple]:
+    """Documents with copies, near copies, shared passages, odd white space, nulls, repeated rows and ids, and a long text."""
+    rnd = random.Random(seed)
+    say = lambda n: " ".join(rnd.choices(WORDS, k=n))
+    passage, other = say(60), say(45)
+    texts: list[tuple] = []
+    for k in range(40):
+        texts.append((k * 10, say(rnd.randint(1, 120)), "en"))
+    original = say(150)
+    for k in range(6):
+        changed = original.split(" ")
+        for _ in range(k):
+            changed[rnd.randrange(len(changed))] = "other"
+        texts.append((1000 - k, " ".join(changed), "de"))
+    texts += [(2000 + k, say(rnd.randint(0, 40)) + "\n" + passage + "\t" + say(rnd.randint(0, 40)), "fr") for k in range(12)]
+    texts += [(2100 + k, other + "  " + other + " " + say(k), "es") for k in range(3)]
+    texts += [(3000, None, "en"), (3001, "", None), (3002, " \n\t ", "en"), (3003, "word", "en"), (3004, "a b", "en"), (None, passage, "en"), (None, None, None)]
+    texts += [(4000, original, "en")] * 3 + [(4001, passage, "en"), (4001, other, "fr")]
+    texts += [(5000, "ABC abc \x1c\x85\xa0 <|endoftext|> naïve 漢字 \U0001f600 ²½ don't  ", "en"), (5001, "\n".join([say(9)] * 30), "en")]
+    texts += [(6000, say(9000), "en"), (6001, "x" * 5000, "en"), (6002, "ab " * 3000, "en")]
+    rnd.shuffle(texts)
+    return texts
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    return made_up()
+
+
+@pytest.fixture(scope="session")
+def docs(spark, corpus):
+    return spark.createDataFrame(rows_of(corpus), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def multiset():
+    """Rows as a sorted list, for comparison in any order."""
+    return lambda rows: sorted((tuple(r) for r in rows), key=repr)

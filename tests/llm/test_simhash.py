@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from millrace.llm import simhash_dedup as S
+from millrace.llm.graph import components
+
+from .conftest import words
+
+
+def brute_fingerprint(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = words(lowered)
+    if not w:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def labels_of(nodes, edges):
+    least = {n: n for n in nodes}
+
+    def root(n):
+        while least[n] != n:
+            least[n] = least[least[n]]
+            n = least[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def partition(labels):
+    groups = {}
+    for n, label in labels.items():
+        groups.setdefault(label, set()).add(n)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_fingerprints(corpus):
+    for _, text, _ in corpus:
+        assert S.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_linked_points_share_an_anchor():
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(0, 2**64, 300, dtype=np.uint64)
+    x[:50] = S.anchors(x[:50])[:, 0]  # code words themselves
+    near = S.anchors(x)
+    assert (np.bitwise_count(near ^ (x & np.uint64(2**63 - 1))[:, None]) <= 2).all()
+    for k in range(len(x)):
+        for _ in range(5):
+            a, b = rnd.integers(0, 64, 2)
+            y = x[k] ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b))
+            assert set(near[k].tolist()) & set(S.anchors(np.array([y]))[0].tolist())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_connect_what_is_near(spark, seed):
+    rnd = random.Random(seed)
+    points = {rnd.getrandbits(64) for _ in range(60)}
+    for p in list(points)[:20]:  # clouds and chains
+        q = p
+        for _ in range(rnd.randint(1, 12)):
+            q ^= (1 << rnd.randrange(64)) ^ (rnd.random() < 0.5) * (1 << rnd.randrange(64))
+            points.add(q)
+    points |= {0, 1, 3, 2**63, 2**64 - 1, 2**64 - 2}
+    near = [(a, b) for a in points for b in points if a < b and (a ^ b).bit_count() <= 2]
+    signed = lambda x: x - (x >> 63 << 64)
+    found = S.links(spark.createDataFrame([(signed(p),) for p in points], "fingerprint long").repartition(3)).collect()
+    got = [(r["u"] % 2**64, r["v"] % 2**64) for r in found]
+    assert all((a ^ b).bit_count() <= 2 for a, b in got)
+    assert partition(labels_of(points, got)) == partition(labels_of(points, near))
+
+
+def brute_components(corpus):
+    prints = {S.fingerprint(t) for _, t, _ in corpus}
+    label = labels_of(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for i, t, _ in corpus:
+        if i is not None:
+            k = label[S.fingerprint(t)]
+            least[k] = min(least.get(k, i), i)
+    return [(i, f"{S.fingerprint(t):016x}", least.get(label[S.fingerprint(t)])) for i, t, _ in corpus]
+
+
+def test_near_duplicates(docs, no_docs, corpus, multiset):
+    assert multiset(S.near_duplicates(docs).collect()) == multiset(brute_components(corpus))
+    assert S.near_duplicates(no_docs).collect() == []
+
+
+def test_one_of_each(docs, no_docs, corpus):
+    got = S.one_of_each(docs)
+    assert got.schema == docs.schema
+    # one id may stand for two components, since rows of one id may have different texts
+    prints = {S.fingerprint(t) for _, t, _ in corpus}
+    label = labels_of(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2])
+    least = {label[int(f, 16)]: c for _, f, c in brute_components(corpus)}
+    kept = [(label[S.fingerprint(r["text"])], r["doc_id"]) for r in got.collect()]
+    assert sorted(kept) == sorted(least.items())
+    assert S.one_of_each(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(k, k + 1) for k in range(0, 400)]  # a long chain, a star, a random graph
+    edges += [(1000, 1001 + k) for k in range(100)]
+    edges += [(rnd.randrange(2000, 2300), rnd.randrange(2000, 2300)) for _ in range(200)]
+    rnd.shuffle(edges)
+    df = spark.createDataFrame([*edges, (None, 5), (7, 7)], "u long, v long")
+    got = {r["node"]: r["label"] for r in components(df).collect()}
+    nodes = {n for e in edges if e[0] != e[1] for n in e}
+    assert partition(got) == partition(labels_of(nodes, [e for e in edges if e[0] != e[1]]))
+    assert components(df.limit(0)).collect() == []
