@@ -189,8 +189,11 @@ def ask(chunks: DataFrame, question: Callable) -> DataFrame:
     return chunks.mapInArrow(put, "page int, chunk long, blob binary")
 
 
-def answer(questions: DataFrame, reply: Callable) -> DataFrame:
-    """Rows (page, chunk, blob): ``reply`` gives a blob or None for each of one page's blobs."""
+def answer(questions: DataFrame, pages: int, reply: Callable) -> DataFrame:
+    """Rows (page, chunk, blob): ``reply`` gives a blob or None for each of one page's blobs.
+
+    There are as many tasks as pages: a page is bounded work, and small questions can be long work.
+    """
 
     def decide(key, rows):
         rows = rows.combine_chunks()
@@ -203,7 +206,7 @@ def answer(questions: DataFrame, reply: Callable) -> DataFrame:
             "blob": pa.array([blobs[k] for k in keep], pa.binary()),
         })
 
-    return questions.groupBy("page").applyInArrow(decide, "page int, chunk long, blob binary")
+    return questions.repartition(pages, "page").groupBy("page").applyInArrow(decide, "page int, chunk long, blob binary")
 
 
 def planes(*flags: np.ndarray) -> bytes | None:

@@ -131,8 +131,8 @@ class SubstringDedup:
             parts = np.split(flags, np.cumsum(sizes)[:-1])
             return [planes(f) for f in parts]
 
-        first = saved(answer(ask(chunks.rows(), count), merge), "sketch")
-        second = saved(answer(ask(chunks.answered(first), detail), group), "windows")
+        first = saved(answer(ask(chunks.rows(), count), pages, merge), "sketch")
+        second = saved(answer(ask(chunks.answered(first), detail), pages, group), "windows")
 
         def finish(batches):
             # both passes' answers are needed: the first tells which windows the second was asked about

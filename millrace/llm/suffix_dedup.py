@@ -369,9 +369,9 @@ class SuffixDedup:
                         cover(place[flags], place[flags] + size)
                 yield use(c, np.cumsum(steps[:-1]) > 0)
 
-        first = saved(answer(ask(chunks.rows(), count), weigh), "anchors")
-        second = saved(answer(ask(chunks.answered(first), detail), resolve), "contexts")
-        third = saved(answer(ask(chunks.answered(numbered([first, second])), show), compare), "suffixes")
+        first = saved(answer(ask(chunks.rows(), count), pages, weigh), "anchors")
+        second = saved(answer(ask(chunks.answered(first), detail), 2 * pages, resolve), "contexts")
+        third = saved(answer(ask(chunks.answered(numbered([first, second])), show), text_pages, compare), "suffixes")
         result = saved(chunks.answered(numbered([first, second, third])).mapInArrow(finish, schema), "suffix-dedup")
         chunks.drop()
         return result
