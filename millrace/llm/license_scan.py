@@ -56,8 +56,9 @@ def scan(
     """
     spark = files.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    notices = [(name, k, notice) for name, several in sorted(templates.items()) for k, notice in enumerate(several)]
-    known = spark.createDataFrame(notices, "license string, notice int, text string").select("license", "notice", F.explode(terms(F.col("text"))).alias("term"))
+    notices = [F.struct(F.lit(name), F.lit(k), F.lit(notice)) for name, several in sorted(templates.items()) for k, notice in enumerate(several)]
+    told = F.array(*notices).cast("array<struct<license:string,notice:int,text:string>>")
+    known = spark.range(1).select(F.inline(told)).select("license", "notice", F.explode(terms(F.col("text"))).alias("term"))
     vocabulary = sorted({r[0] for r in known.select("term").distinct().collect()})
     listed = F.array(*map(F.lit, vocabulary))
     counts = files.select(F.explode_outer(F.array_intersect(terms(text), listed)).alias("term")).groupBy("term").count()

@@ -60,7 +60,122 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+def _notices() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(name)}, {k}, {quote(n)})" for name, several in license_scan.TEMPLATES.items() for k, n in enumerate(several))
+
+
+#: DuckDB SQL for the rows of queries; the tests hold the others against brute force.
 ORACLE_SQL = {
+    "op4_decontaminate": r"""
+        WITH b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-`{-\x7f]+') AS w FROM benchmark
+        ), d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-`{-\x7f]+') AS w FROM documents
+        ), items AS (
+            SELECT item_id, len(w) AS n, least(5, len(w)) AS k, w FROM b WHERE len(w) > 0
+        ), wanted AS (
+            SELECT item_id, n, k, array_to_string(w[i : i + k - 1], ' ') AS s, count(*) AS c FROM items, unnest(range(1, n - k + 2)) AS t(i) GROUP BY ALL
+        ), placed AS (
+            SELECT doc_id, len(w) AS m, k, i, array_to_string(w[i : i + k - 1], ' ') AS s
+            FROM d, (SELECT DISTINCT k FROM items) AS sizes, unnest(range(1, len(w) - k + 2)) AS t(i)
+        ), starts AS (
+            SELECT DISTINCT doc_id, item_id, n, k, unnest(range(greatest(1, i - (n - k)), least(i, m - n + 1) + 1)) AS a FROM placed JOIN wanted USING (k, s)
+        ), met AS (
+            SELECT x.doc_id, x.item_id, x.n, x.k, x.a, p.s, count(*) AS c FROM starts AS x
+            JOIN placed AS p ON p.doc_id = x.doc_id AND p.k = x.k AND p.i BETWEEN x.a AND x.a + x.n - x.k GROUP BY ALL
+        ), scored AS (
+            SELECT doc_id, item_id, n, a, CAST(sum(CASE WHEN wanted.c IS NULL THEN 0 ELSE least(met.c, wanted.c) END) AS BIGINT) AS shared, 2 * (n - k + 1) AS total
+            FROM met LEFT JOIN wanted USING (item_id, n, k, s) GROUP BY doc_id, item_id, n, k, a
+        ), best AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared DESC, a) AS nth FROM scored
+        )
+        SELECT doc_id, item_id, shared / (total - shared) AS similarity, a - 1 AS first_word, n AS n_words FROM best WHERE nth = 1 AND shared >= 0.8 * (total - shared)
+    """,
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(i)
+        ), twice AS (
+            SELECT s FROM windows GROUP BY s HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN twice USING (s)
+        ), kept AS (
+            SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS text, count(*) AS n
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) AS x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_license_scan": r"""
+        WITH f AS (
+            SELECT doc_id, source || '/' || lang || '/' || (doc_id // 200) || '/' || doc_id || '.txt' AS path, source || '/' || lang || '/' || (doc_id // 200) AS folder,
+                coalesce(text, '') AS text FROM documents
+        ), notices(license, notice, text) AS (
+            VALUES NOTICES
+        ), known AS (
+            SELECT license, notice, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+'), lambda x: x <> '')) AS term FROM notices
+        ), seen AS (
+            SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS term FROM f) AS x GROUP BY term
+        ), size AS (
+            SELECT count(*) AS n FROM f
+        ), weights AS (
+            SELECT term, ln((n + 1) / (coalesce(c, 0) + 1)) + 1 AS weight FROM (SELECT DISTINCT term FROM known) AS v CROSS JOIN size LEFT JOIN seen USING (term)
+        ), own AS (
+            SELECT license, notice, term, count(*) * any_value(weight) AS w FROM known JOIN weights USING (term) GROUP BY license, notice, term
+        ), units AS (
+            SELECT license, notice, term, w / sqrt(sum(w * w) OVER (PARTITION BY license, notice)) AS unit FROM own
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f
+        ), terms AS (
+            SELECT doc_id, k, unnest(list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{N}-]+'), lambda x: x <> '')) AS term FROM lines
+        ), counted AS (
+            SELECT doc_id, k, term, count(*) * coalesce(any_value(weight), ln(any_value(n) + 1) + 1) AS w
+            FROM terms CROSS JOIN size LEFT JOIN weights USING (term) GROUP BY doc_id, k, term
+        ), norms AS (
+            SELECT doc_id, k, sqrt(sum(w * w)) AS norm FROM counted GROUP BY doc_id, k
+        ), dots AS (
+            SELECT doc_id, k, license, notice, sum(w * unit) AS dot FROM counted JOIN units USING (term) GROUP BY doc_id, k, license, notice
+        ), best AS (
+            SELECT doc_id, license, similarity FROM (
+                SELECT doc_id, license, round(dot / norm, 6) AS similarity, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, license) AS nth
+                FROM dots JOIN norms USING (doc_id, k)
+            ) AS x WHERE nth = 1 AND similarity >= 0.6
+        ), states AS (
+            SELECT folder, first(license ORDER BY similarity DESC, license) AS inherited FROM f JOIN best USING (doc_id) GROUP BY folder
+        ), near AS (
+            SELECT x.folder, first(s.inherited ORDER BY length(s.folder) DESC) AS inherited, first(s.folder ORDER BY length(s.folder) DESC) AS ancestor
+            FROM (SELECT DISTINCT folder FROM f) AS x JOIN states AS s ON x.folder = s.folder OR starts_with(x.folder, s.folder || '/') GROUP BY x.folder
+        )
+        SELECT doc_id, path, coalesce(license, inherited) AS license, similarity,
+            CASE WHEN license IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin,
+            CASE WHEN license IS NULL THEN ancestor END AS inherited_from
+        FROM f LEFT JOIN best USING (doc_id) LEFT JOIN near USING (folder)
+    """.replace("NOTICES", _notices()),
+    "op8_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM d, unnest(range(1, n - 98)) AS t(i)
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM windows) AS x WHERE nth > 1
+        ), marked AS (
+            SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS begins FROM later
+        ), numbered AS (
+            SELECT doc_id, i, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY doc_id, run
+        ), pieces AS (
+            SELECT doc_id, coalesce(lag(z) OVER w, 1) AS a, runs.a AS z FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY runs.a)
+            UNION ALL SELECT doc_id, max(runs.z), max(n) + 1 FROM runs JOIN d USING (doc_id) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(hex(b), CAST(2 * a - 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS h FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+        ), removed AS (
+            SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS bytes, count(*) AS spans FROM runs GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(bytes, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256
+        FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
