@@ -142,3 +142,23 @@ def word_ranges(
     last = np.ones(len(data), dtype=bool)
     last[:-1] = first[1:] | ~inside[1:]
     return np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
+
+
+def word_hashes(
+    hasher: RangeHash, data: np.ndarray, doc_starts: np.ndarray, separator: np.ndarray = SEPARATOR, reaches: tuple[int, ...] = (1 << 40,), part: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Byte starts and ends of words, and for each reach the hashes of the words' first so many bytes.
+
+    Words are hashed in parts of about ``part`` bytes, so one very long text needs little more memory.
+    """
+    starts, ends = word_ranges(data, doc_starts, separator)
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in reaches]
+    k = 0
+    while k < len(starts):
+        a = starts[k]
+        to = max(k + 1, int(np.searchsorted(ends, a + part, side="right")))
+        prefix = hasher.prefix(data[a : ends[to - 1]])
+        for column, reach in zip(out, reaches, strict=True):
+            column[k:to] = hasher.between(prefix, starts[k:to] - a, np.minimum(starts[k:to] + reach, ends[k:to]) - a)
+        k = to
+    return starts, ends, out

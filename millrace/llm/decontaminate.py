@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, laid_out, slices, word_ranges
+from millrace.llm import common
+from millrace.llm.common import RangeHash, laid_out, slices
 from millrace.llm.toxicity import BREAK, LOWER
 
 LETTERS, WORDS = RangeHash(30), RangeHash(31)
@@ -21,9 +22,8 @@ BLOCKS = 8
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (letters and digits, A-Z lowered) and each text's bounds in words."""
-    data = LOWER[data]
-    starts, ends = word_ranges(data, bounds, BREAK)
-    return LETTERS.between(LETTERS.prefix(data), starts, ends), np.searchsorted(starts, bounds)
+    starts, _, (hashes,) = common.word_hashes(LETTERS, LOWER[data], bounds, BREAK)
+    return hashes, np.searchsorted(starts, bounds)
 
 
 def fingerprints(bits: np.ndarray, counts: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:

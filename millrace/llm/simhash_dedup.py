@@ -32,13 +32,13 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     lengths = ends - starts + 1
     end = np.cumsum(lengths) - 1
     size = min(size, len(starts))
-    first = (end - lengths + 1)[: len(starts) - size + 1].tolist()
-    hashes = [xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(first, end[size - 1 :].tolist(), strict=True)]
+    first, last = (end - lengths + 1)[: len(starts) - size + 1], end[size - 1 :]
     counts = np.zeros(64, dtype=np.int64)
-    h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    for k in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(h[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    for k in range(0, len(first), 1 << 16):
+        some = zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist(), strict=True)
+        h = np.array([xxhash.xxh64_intdigest(line[a:b], seed) for a, b in some], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(first), bitorder="little").view("<u8")[0])
 
 
 def anchors(fingerprints: np.ndarray) -> np.ndarray:

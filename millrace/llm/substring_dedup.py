@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame
 from millrace.llm.chunks import (
     CELL_BITS, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import RangeHash, saved, word_ranges
+from millrace.llm.common import RangeHash, saved, word_hashes
 
 BYTES, SKETCH, EXACT = RangeHash(1), RangeHash(2), RangeHash(3)
 
 
 def window_hashes(data: np.ndarray, bounds: np.ndarray, size: int):
     """Word ranges, words before each text, and the starts of its windows with two hashes of each."""
-    starts, ends = word_ranges(data, bounds)
-    words = BYTES.between(BYTES.prefix(data), starts, ends)
+    starts, ends, (words,) = word_hashes(BYTES, data, bounds)
     first = np.searchsorted(starts, bounds)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     n = max(0, len(words) - size + 1)

@@ -48,9 +48,7 @@ def contexts(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
     """First and last window start, and anchor, of every context of texts laid end to end."""
     gram = size // 2
     hashes = GRAMS.windows(GRAMS.prefix(data), gram)
-    place = np.uint64((1 << 28) - 1)
-    if len(data) > int(place):
-        raise ValueError("a text over 256 MB must be split before its windows can be placed")
+    place = np.uint64((1 << 31) - 1)  # Spark's own limit of a text
     least = sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), size - gram + 1)
     anchor = (least & place).astype(np.int64)
     at = np.arange(len(anchor))

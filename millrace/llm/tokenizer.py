@@ -20,6 +20,19 @@ PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Between a letter and a space before a letter the split always cuts.
+CUT = re.compile(r"(?<=[^\W\d_²³¹¼½¾]) (?=[^\W\d_²³¹¼½¾])")
+
+
+def parts(text: str, size: int = 1 << 20):
+    """A settled text in parts of about ``size`` characters that encode apart as they do together."""
+    at = 0
+    while len(text) - at > size and (cut := CUT.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -61,7 +74,7 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         """Ids as the library gives them, special strings handled as its default, none added."""
         if SETTLED.fullmatch(text):
-            return self.fast.encode(text, allowed_special=self.names, disallowed_special=())
+            return [i for part in parts(text) for i in self.fast.encode(part, allowed_special=self.names, disallowed_special=())]
         return self.library.encode(text, add_special_tokens=False).ids
 
 
@@ -94,8 +107,8 @@ class TokenCounter:
     def count(self, text: str) -> int:
         if not SETTLED.fullmatch(text):
             return len(self.encoder.library.encode(text, add_special_tokens=False).ids)
-        parts = self.specials.split(text)
-        return len(parts) - 1 + sum(map(self._ordinary, parts))
+        between = self.specials.split(text)
+        return len(between) - 1 + sum(self._ordinary(part) for piece in between for part in parts(piece))
 
     def _ordinary(self, text: str) -> int:
         tokens = PRETOKEN.findall(text)

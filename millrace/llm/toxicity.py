@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, slices, word_ranges
+from millrace.llm.common import RangeHash, slices, word_hashes
 
 BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)
 PAD = max(WIDTHS) - 1
@@ -22,11 +22,8 @@ REACH = (1 << 30, 4, 6)
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (words, 3) of texts laid end to end, and the bounds of the texts in words."""
-    data = LOWER[data]
-    starts, ends = word_ranges(data, bounds, BREAK)
-    prefix = HASH.prefix(data)
-    found = [HASH.between(prefix, starts, np.minimum(starts + n, ends)) ^ np.uint64(k) for k, n in enumerate(REACH)]
-    rows = np.stack([(f % np.uint64(BUCKETS)).astype(np.int32) for f in found], axis=1)
+    starts, _, found = word_hashes(HASH, LOWER[data], bounds, BREAK, REACH)
+    rows = np.stack([((f ^ np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32) for k, f in enumerate(found)], axis=1)
     return rows, np.searchsorted(starts, bounds)
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import substring_dedup, suffix_dedup
 from millrace.llm.chunks import pack, unpack
-from millrace.llm.common import RangeHash, word_ranges
+from millrace.llm.common import SEPARATOR, RangeHash, word_hashes, word_ranges
 from millrace.llm.suffix_dedup import contexts, later_windows, maximal_repeats, sliding_least
 
 from .conftest import words
@@ -173,3 +173,11 @@ def test_words_never_cross_texts():
     data, bounds = np.frombuffer(b"ab cdef  g", np.uint8), np.array([0, 2, 5, 5, 10])
     starts, ends = word_ranges(data, bounds)
     assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"ef", b"g"]
+
+
+def test_words_hash_alike_in_parts():
+    data, bounds = np.frombuffer(b"abcdefgh ab abc  abcdefgh xyz" * 9, np.uint8), np.array([0, 100, 261])
+    whole = word_hashes(RangeHash(5), data, bounds, SEPARATOR, (1 << 40, 3))
+    for part in (1, 4, 50):
+        some = word_hashes(RangeHash(5), data, bounds, SEPARATOR, (1 << 40, 3), part)
+        assert all((a == b).all() for a, b in zip([*whole[:2], *whole[2]], [*some[:2], *some[2]], strict=True))

@@ -46,6 +46,15 @@ def test_special_strings_and_spaces(counter, text):
     assert counter.count(text) == len(library_ids(text))
 
 
+def test_parts_encode_as_the_whole():
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(["a b ", " don't", "\n x", "é ", "  ", "1 2", " ñu", "² b", "<|endoftext|> c"]) for _ in range(400))
+    for size in (1, 7, 100):
+        cut = list(tokenizer.parts(text, size))
+        assert "".join(cut) == text and len(cut) > 3
+        assert [i for p in cut for i in tokenizer.encoder(PATH).ids(p)] == library_ids(text)
+
+
 def test_whole_tokens_are_one_token():
     proven = sorted(tokenizer.whole_tokens(PATH))
     assert len(proven) > 40_000
