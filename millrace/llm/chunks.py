@@ -6,13 +6,14 @@ of hashes, a question is a page's share of a chunk's distinct hashes in one pack
 answer is a bit for each of them.  Equal windows of a chunk are combined before they leave it, so a
 passage that a third of all texts share reaches its page once a chunk, not once a text.  Questions
 and answers are shuffled; texts stay where their chunk was written, since the chunk table is
-bucketed by chunk.
+bucketed by the task that wrote it, in one file a task.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +24,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import laid_out, quoted, removed, scratch, text_bytes
+from millrace.llm.common import batched, laid_out, quoted, removed, scratch, text_bytes
 
 CELL_BITS = 28
-CHUNK = "chunk long, ids array<long>, lengths array<int>, body binary, notes binary, rest binary"
+CHUNK = "part int, chunk long, ids array<long>, lengths array<int>, body binary, notes binary, rest binary"
 
 
 class ChunkTable:
     """Whole texts in chunks of about ``chunk_bytes``; one longer text is a chunk of its own.
 
+    Chunks and pages grow with the input, within bounds, so that a chunk's question to a page still
+    holds several hashes when there are very many of both: 0.5 to 32 MB of text, and up to eight
+    times an operator's usual number of hashes a page.
+
     ``note(data, bounds)`` may add a packed value that later passes read instead of working it out
     again.  With ``carry`` the other columns of ``docs`` travel with their texts.
     """
 
     def __init__(
-        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int = 4 << 20,
+        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int | None = None,
         id_column: str = "doc_id", text_column: str = "text",
     ):
         self.spark = docs.sparkSession
         self.total = text_bytes(docs, text_column)
-        self.buckets = int(np.clip(self.total // (2 * chunk_bytes), 1, 100_000))
+        chunk_bytes = chunk_bytes or int(np.clip(self.total >> 15, 1 << 19, 32 << 20))
+        self.buckets = int(np.clip(self.total >> 24, 1, 100_000))
+        # the join by part and chunk may rest on the buckets by part alone
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.path, self.name = scratch(self.spark, "chunks"), f"millrace_chunks_{uuid.uuid4().hex}"
 
         def gather(batches):
@@ -57,40 +65,48 @@ class ChunkTable:
                     size += int(batch_bounds[to] - batch_bounds[at])
                     at = to
                     if size >= chunk_bytes or at < batch.num_rows:
-                        yield packed((part << 32) + nth, held, note)
+                        yield packed(part, nth, held, note)
                         nth, held, size = nth + 1, [], 0
             if held:
-                yield packed((part << 32) + nth, held, note)
+                yield packed(part, nth, held, note)
 
         others = [c for c in docs.columns if c != text_column] if carry else []
         rest = [F.col(quoted(c)).alias(f"rest{k}") for k, c in enumerate(others)]
-        frame = docs.select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
-        writer = frame.mapInArrow(gather, CHUNK).write.bucketBy(self.buckets, "chunk").option("path", self.path)
-        writer.format("parquet").saveAsTable(self.name)
+        frame = batched(docs).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
+        writer = frame.mapInArrow(gather, CHUNK).write.bucketBy(self.buckets, "part").option("path", self.path)
+        # bodies are compressed already, and large values should not pass a codec's buffers again
+        writer.format("parquet").option("compression", "uncompressed").saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def pages(self, items: int, page_items: int) -> int:
-        return max(1, -(-items // page_items))
+        """Pages for so many hashes, ``page_items`` or, of very many, up to eight times as many on each."""
+        return max(1, -(-items // int(np.clip(items >> 12, page_items, 8 * page_items))))
 
     def answered(self, answers: DataFrame) -> DataFrame:
         """The chunks with their answers (page, blob); only the answers move."""
-        moved = answers.repartition(self.buckets, "chunk").groupBy("chunk")
-        return self.rows().join(moved.agg(F.collect_list(F.struct("page", "blob")).alias("answers")), "chunk", "left")
+        return self.joined(answers, F.struct("page", "blob"), "answers", "left")
+
+    def joined(self, rows: DataFrame, value, name: str, how: str) -> DataFrame:
+        """The chunks with a list of the values that ``rows`` have for each."""
+        part = F.shiftright("chunk", 32).cast("int").alias("part")
+        moved = rows.select(part, "chunk", value.alias(name)).repartition(self.buckets, "part")
+        return self.rows().join(moved.groupBy("part", "chunk").agg(F.collect_list(name).alias(name)), ["part", "chunk"], how)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         removed(self.spark, self.path)
 
 
-def packed(chunk: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.RecordBatch:
+def packed(part: int, nth: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.RecordBatch:
     rows = pa.concat_batches(held)
     rows = rows.take(pc.sort_indices(rows.column(0), null_placement="at_end"))
     data, bounds = laid_out(rows.column(1))
     body = zstandard.ZstdCompressor(level=1).compress(data.tobytes())
     ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(0))
-    lengths = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(np.diff(bounds).astype(np.int32)))
+    absent = rows.column(1).is_null().to_numpy(zero_copy_only=False)  # a null text has length -1
+    lengths = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(np.where(absent, -1, np.diff(bounds)).astype(np.int32)))
     notes = pa.array([note(data, bounds) if note else None], pa.binary())
     rest = None
     if rows.num_columns > 2:
@@ -99,15 +115,17 @@ def packed(chunk: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.
         with pa.ipc.new_stream(sink, others.schema) as stream:
             stream.write_batch(others)
         rest = sink.getvalue().to_pybytes()
-    arrays = [pa.array([chunk], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes, pa.array([rest], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "lengths", "body", "notes", "rest"])
+    names = ["part", "chunk", "ids", "lengths", "body", "notes", "rest"]
+    arrays = [pa.array([part], pa.int32()), pa.array([(part << 32) + nth], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes, pa.array([rest], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 class Chunk:
-    """One chunk row: document ids, bytes laid end to end, bounds of the texts, notes, answers by page, other columns."""
+    """One chunk row: document ids, bytes laid end to end, bounds of the texts, which are null, notes, answers by page, other columns."""
 
-    def __init__(self, chunk: int, ids: pa.Array, data: np.ndarray, bounds: np.ndarray, notes: bytes | None, answers: dict[int, bytes], rest: bytes | None):
-        self.chunk, self.ids, self.data, self.bounds, self.notes, self.answers, self._rest = chunk, ids, data, bounds, notes, answers, rest
+    def __init__(self, chunk, ids: pa.Array, data: np.ndarray, bounds: np.ndarray, absent: np.ndarray, notes: bytes | None, answers: dict[int, bytes], rest: bytes | None):
+        self.chunk, self.ids, self.data, self.bounds, self.absent = chunk, ids, data, bounds, absent
+        self.notes, self.answers, self._rest = notes, answers, rest
 
     @property
     def rest(self) -> pa.RecordBatch:
@@ -122,12 +140,12 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             ids = batch.column(names.index("ids"))[k].values
             lengths = batch.column(names.index("lengths"))[k].values.to_numpy()
             body = batch.column(names.index("body"))[k].as_py()
-            bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            bounds = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0), dtype=np.int64)])
             raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(bounds[-1])) if bounds[-1] else b""
             answers = batch.column(names.index("answers"))[k].as_py() if "answers" in names else None
             answered = {a["page"]: a["blob"] for a in answers or ()}
             chunk, notes, rest = (batch.column(names.index(c))[k].as_py() for c in ("chunk", "notes", "rest"))
-            yield Chunk(chunk, ids, np.frombuffer(raw, dtype=np.uint8), bounds, notes, answered, rest)
+            yield Chunk(chunk, ids, np.frombuffer(raw, dtype=np.uint8), bounds, lengths < 0, notes, answered, rest)
 
 
 def located(hashes: np.ndarray, pages: int) -> np.ndarray:
@@ -227,8 +245,6 @@ def bits(answers: dict[int, bytes], cells: np.ndarray, plane: int = 0, first_pag
 
 def numbered(passes: list[DataFrame]) -> DataFrame:
     """Several passes' answers in one table; ``sorted_out`` tells them apart again."""
-    from functools import reduce
-
     n = len(passes)
     return reduce(DataFrame.union, (p.selectExpr(f"page * {n} + {k} as page", "chunk", "blob") for k, p in enumerate(passes)))
 
@@ -238,6 +254,6 @@ def sorted_out(answers: dict[int, bytes], n: int) -> list[dict[int, bytes]]:
 
 
 def with_text(columns: list[str], chunk: Chunk, texts: list[str], text_column: str) -> pa.RecordBatch:
-    """Rows with other texts, from a chunk that carries the other columns."""
+    """Rows with other texts, but for null ones, from a chunk that carries the other columns."""
     at, others = columns.index(text_column), list(chunk.rest.columns) if len(columns) > 1 else []
-    return pa.RecordBatch.from_arrays([*others[:at], pa.array(texts, pa.string()), *others[at:]], columns)
+    return pa.RecordBatch.from_arrays([*others[:at], pa.array(texts, pa.string(), mask=chunk.absent), *others[at:]], columns)

@@ -5,6 +5,8 @@ Scratch tables live under the folder that ``spark.checkpoint.dir`` names, which
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches are bounded to 4 MB if they weren't already.
+
+    A batch stands in the executor's memory twice, in Java and in Python, for each task at a time.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
+    if not re.fullmatch(r"\d+b", held := conf.get(key)) or int(held[:-1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -54,8 +70,7 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """Finalising bijection on 64-bit words, so that all bits depend on all bits."""
-    x = x.astype(np.uint64, copy=True)
+    """Finalising bijection on 64-bit words, in place, so that all bits depend on all bits."""
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
@@ -85,9 +100,10 @@ class RangeHash:
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums for ``between``; bytes are first replaced by random codes."""
         self._powers(len(values) + 1)
-        words = self.codes[values] if values.dtype == np.uint8 else values
         out = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(words * self.up[: len(values)], out=out[1:])
+        out[1:] = self.codes[values] if values.dtype == np.uint8 else values
+        out[1:] *= self.up[: len(values)]
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

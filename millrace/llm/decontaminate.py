@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.common import RangeHash, laid_out, slices
+from millrace.llm.common import RangeHash, batched, laid_out, slices
 from millrace.llm.toxicity import BREAK, LOWER
 
 LETTERS, WORDS = RangeHash(30), RangeHash(31)
@@ -170,7 +170,7 @@ def contaminated(
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, id_column), (benchmark, item_column))]
     names = benchmark.where(F.col(text_column).isNotNull()).select(F.col(item_column).alias("item"), F.col(text_column).alias("item_text"))
     schema = f"id {kinds[0]}, number int, similarity double, first_word long, n_words long"
-    frame = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    frame = batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def search(texts: list[str]) -> DataFrame:
         shared = spark.sparkContext.broadcast(texts)
@@ -215,6 +215,6 @@ def without_contaminated(
                         clean[k + a] = False
                 yield batch.filter(pa.array(clean))
 
-        return rows.mapInArrow(keep, docs.schema)
+        return batched(rows).mapInArrow(keep, docs.schema)
 
     return reduce(without, item_blocks(benchmark, text_column, block_bytes), docs)

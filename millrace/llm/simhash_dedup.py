@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm.common import SEPARATOR, fresh, quoted, saved, word_ranges
+from millrace.llm.chunks import ChunkTable, opened, with_text
+from millrace.llm.common import SEPARATOR, batched, saved, word_ranges
 from millrace.llm.graph import components
 
 #: The positions 1 to 63 of the perfect binary Hamming code of length 63, as bits of a fingerprint.
@@ -17,9 +20,10 @@ POSITIONS = np.arange(1, 64, dtype=np.uint64)
 LOWER = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), dtype=np.uint8)
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | bytes | None, size: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of a whole text's word shingles, repeats included."""
-    data = LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
+    raw = text.encode() if isinstance(text, str) else text or b""
+    data = LOWER[np.frombuffer(raw, dtype=np.uint8)]
     starts, ends = word_ranges(data, np.zeros(0, dtype=np.int64))
     if not len(starts):
         return 0
@@ -86,7 +90,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["id", "fingerprint"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text_column).mapInArrow(mark, f"id {kind}, fingerprint long")
+    return batched(docs).select(F.col(id_column).alias("id"), text_column).mapInArrow(mark, f"id {kind}, fingerprint long")
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
@@ -156,21 +160,34 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_column: str = "doc_id
 def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The row with the smallest id of each component, all columns; of equal ids any one, nulls last.
 
-    Rows are told apart by a number written with them, so repeated ids and rows are no matter.
+    Rows are told apart by their place in a chunk table, so repeated ids and rows are no matter, and
+    only fingerprints and places are shuffled, no texts.
     """
-    columns, at = docs.columns, docs.columns.index(text_column)
-    mark, row = fresh(columns, "fingerprint"), fresh(columns, "row")
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
 
-    def add(batches):
-        for batch in batches:
-            f = np.array([fingerprint(t.as_py()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], [*batch.schema.names, mark])
+    def note(data, bounds):
+        return np.array([fingerprint(data[a:b].tobytes()) for a, b in pairwise(bounds.tolist())], dtype=np.uint64).tobytes()
 
-    kept = saved(docs.mapInArrow(add, schema).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
-    marked = kept.select(F.col(quoted(mark)).alias("fingerprint"), F.col(quoted(id_column)).alias("id"), F.col(quoted(row)).alias("row"))
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+    chunks = ChunkTable(docs, note, carry=True, id_column=id_column, text_column=text_column)
+
+    def listed(batches):
+        for batch in batches:
+            for chunk, ids, notes in zip(*batch.columns, strict=True):
+                n = len(ids.values)
+                arrays = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), ids.values, pa.array(np.frombuffer(notes.as_py(), dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "place", "id", "fingerprint"])
+
+    places = chunks.rows().select("chunk", "ids", "notes").mapInArrow(listed, "chunk long, place int, id long, fingerprint long")
+    marked = saved(places, "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "chunk", "place")).alias("first")
     by_print = marked.groupBy("fingerprint").agg(first)
     least = labelled(marked, distance).join(by_print, "fingerprint").groupBy("label").agg(F.min("first").alias("first"))
-    chosen = least.select(F.col("first.row").alias(row))
-    return kept.join(chosen, row, "left_semi").select(*[F.col(quoted(c)) for c in columns])
+    met = chunks.joined(least.select("first.chunk", "first.place"), F.col("place"), "places", "inner")
+    columns = docs.columns
+
+    def pick(batches):
+        for batch in batches:
+            for c, kept in zip(opened([batch]), batch.column("places"), strict=True):
+                texts = [c.data[a:b].tobytes().decode() for a, b in pairwise(c.bounds.tolist())]
+                yield with_text(columns, c, texts, text_column).take(kept.values.take(pc.sort_indices(kept.values)))
+
+    return met.mapInArrow(pick, docs.schema)

@@ -130,8 +130,8 @@ class SubstringDedup:
             parts = np.split(flags, np.cumsum(sizes)[:-1])
             return [planes(f) for f in parts]
 
-        first = saved(answer(ask(chunks.rows(), count), pages, merge), "sketch")
-        second = saved(answer(ask(chunks.answered(first), detail), pages, group), "windows")
+        first = saved(answer(ask(chunks.rows(), count), pages, merge).hint("rebalance"), "sketch")
+        second = saved(answer(ask(chunks.answered(first), detail), pages, group).hint("rebalance"), "windows")
 
         def finish(batches):
             # both passes' answers are needed: the first tells which windows the second was asked about
@@ -171,7 +171,7 @@ def removed_digests(docs: DataFrame, size: int = 35, **names) -> DataFrame:
 def without_repeats(docs: DataFrame, size: int = 35, text_column: str = "text", **names) -> DataFrame:
     """The rows of ``docs``, all columns, with the words left joined by single spaces.
 
-    Texts that lose no word are unchanged, null ones stay empty.
+    Texts that lose no word, and null ones, are unchanged.
     """
 
     columns = docs.columns

@@ -44,16 +44,25 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, and anchor, of every context of texts laid end to end."""
+def contexts(data: np.ndarray, bounds: np.ndarray, size: int, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start, and anchor, of every context of texts laid end to end.
+
+    Grams are hashed in parts of ``part`` window starts, for the working memory.
+    """
     gram = size // 2
-    hashes = GRAMS.windows(GRAMS.prefix(data), gram)
+    anchor = np.zeros(max(0, len(data) - size + 1), dtype=np.int64)
     place = np.uint64((1 << 31) - 1)  # Spark's own limit of a text
-    least = sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), size - gram + 1)
-    anchor = (least & place).astype(np.int64)
-    at = np.arange(len(anchor))
-    fits = np.repeat(bounds[1:], np.diff(bounds))[: len(at)] >= at + size
-    at, anchor = at[fits], anchor[fits]
+    for a in range(0, len(anchor), part):
+        hashes = GRAMS.windows(GRAMS.prefix(data[a : a + part + size - 1]), gram)
+        hashes &= ~place
+        hashes |= np.arange(len(hashes), dtype=np.uint64)
+        least = sliding_least(hashes, size - gram + 1)
+        anchor[a : a + len(least)] = (least & place).astype(np.int64) + a
+    fits = np.zeros(len(data), dtype=bool)
+    for a, b in pairwise(bounds.tolist()):
+        fits[a : max(a, b - size + 1)] = True
+    at = np.flatnonzero(fits[: len(anchor)])
+    anchor = anchor[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -367,9 +376,9 @@ class SuffixDedup:
                         cover(place[flags], place[flags] + size)
                 yield use(c, np.cumsum(steps[:-1]) > 0)
 
-        first = saved(answer(ask(chunks.rows(), count), pages, weigh), "anchors")
-        second = saved(answer(ask(chunks.answered(first), detail), 2 * pages, resolve), "contexts")
-        third = saved(answer(ask(chunks.answered(numbered([first, second])), show), text_pages, compare), "suffixes")
+        first = saved(answer(ask(chunks.rows(), count), pages, weigh).hint("rebalance"), "anchors")
+        second = saved(answer(ask(chunks.answered(first), detail), 2 * pages, resolve).hint("rebalance"), "contexts")
+        third = saved(answer(ask(chunks.answered(numbered([first, second])), show), text_pages, compare).hint("rebalance"), "suffixes")
         result = saved(chunks.answered(numbered([first, second, third])).mapInArrow(finish, schema), "suffix-dedup")
         chunks.drop()
         return result
@@ -404,8 +413,8 @@ def removed_digests(docs: DataFrame, size: int = 100, **names) -> DataFrame:
 def without_repeats(docs: DataFrame, size: int = 100, text_column: str = "text", **names) -> DataFrame:
     """The rows of ``docs``, all columns, with the texts that the cuts leave.
 
-    The bytes of a character that a cut breaks go too.  Texts that lose nothing are unchanged, null
-    ones stay empty.
+    The bytes of a character that a cut breaks go too.  Texts that lose nothing, and null ones, are
+    unchanged.
     """
 
     columns = docs.columns

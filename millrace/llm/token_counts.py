@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizer
+from millrace.llm.common import batched
 
 
 def token_counts(
@@ -30,7 +31,7 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), n], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    counted = docs.select(
+    counted = batched(docs).select(
         F.col(id_column).alias("id"),
         F.col(text_column).alias("text"),
         F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"),

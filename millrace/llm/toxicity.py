@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, slices, word_hashes
+from millrace.llm.common import RangeHash, batched, slices, word_hashes
 
-BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)
+BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)  # a bucket is a 16-bit number
 PAD = max(WIDTHS) - 1
 LOWER = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), dtype=np.uint8)
 BREAK = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) for c in range(256)])
@@ -23,7 +23,7 @@ REACH = (1 << 30, 4, 6)
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (words, 3) of texts laid end to end, and the bounds of the texts in words."""
     starts, _, found = word_hashes(HASH, LOWER[data], bounds, BREAK, REACH)
-    rows = np.stack([((f ^ np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32) for k, f in enumerate(found)], axis=1)
+    rows = np.stack([((f ^ np.uint64(k)) % np.uint64(BUCKETS)).astype(np.uint16) for k, f in enumerate(found)], axis=1)
     return rows, np.searchsorted(starts, bounds)
 
 
@@ -197,19 +197,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: s
     known = known.groupBy(id_column).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     known = known.orderBy(F.xxhash64(id_column), id_column).limit(max_rows)
     tongue = F.col(language) if language in docs.columns else F.lit(None)
-    rows = docs.select(id_column, F.col(text_column).alias("_text"), tongue.cast("string").alias("_lang"))
+    rows = batched(docs).select(id_column, F.col(text_column).alias("_text"), tongue.cast("string").alias("_lang"))
     rows = rows.join(F.broadcast(known), id_column).select("_text", "_lang", "_toxic", fold(id_column).cast("int").alias("_fold"))
 
     def hashed(batches):
         for batch in batches:
             for data, bounds, a, b in slices(batch.column(0)):
                 ids, bounds = features(data, bounds)
-                values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel()))
+                values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel().view(np.int16)))
                 yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "lang", "toxic", "fold"])
 
-    got = rows.mapInArrow(hashed, "ids array<int>, lang string, toxic int, fold int").toArrow().combine_chunks()
+    got = rows.mapInArrow(hashed, "ids array<short>, lang string, toxic int, fold int").toArrow().combine_chunks()
     y, part = got.column("toxic").to_numpy().astype(np.float32), got.column("fold").to_numpy()
-    texts = [np.asarray(x.values, dtype=np.int32).reshape(-1, len(REACH)) for x in got.column("ids")]
+    texts = [x.values.to_numpy().view(np.uint16).reshape(-1, len(REACH)) for x in got.column("ids")]
     spoken = got.column("lang").to_pylist()
     # rows come in any order: fix one, so that equal tables give equal models
     order = sorted(range(len(y)), key=lambda k: (part[k], y[k], len(texts[k]), texts[k].tobytes()))
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
 
     tongue = F.col(language) if language in docs.columns else F.lit(None)
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), tongue.cast("string").alias("lang"))
+    rows = batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), tongue.cast("string").alias("lang"))
     scored = rows.mapInArrow(apply, f"id {kind}, score double, threshold double")
     return scored.select(
         F.col("id").alias(id_column), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score",
@@ -273,4 +273,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_column: str = "tex
             s, limits = verdicts(shared.value, batch.column(at), languages)
             yield batch.filter(pa.array(s < limits))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return batched(docs).mapInArrow(keep, docs.schema)
