@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batched, laid_out, quoted, removed, scratch, text_bytes
+from millrace.llm.common import batched, frugal, give_back, laid_out, quoted, removed, scratch, text_bytes
 
 CELL_BITS = 28
 CHUNK = "part int, chunk long, ids array<long>, lengths array<int>, body binary, notes binary, rest binary"
@@ -73,7 +73,7 @@ class ChunkTable:
         others = [c for c in docs.columns if c != text_column] if carry else []
         rest = [F.col(quoted(c)).alias(f"rest{k}") for k, c in enumerate(others)]
         frame = batched(docs).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
-        writer = frame.mapInArrow(gather, CHUNK).write.bucketBy(self.buckets, "part").option("path", self.path)
+        writer = frame.mapInArrow(frugal(gather), CHUNK).write.bucketBy(self.buckets, "part").option("path", self.path)
         # bodies are compressed already, and large values should not pass a codec's buffers again
         writer.format("parquet").option("compression", "uncompressed").saveAsTable(self.name)
 
@@ -204,7 +204,7 @@ def ask(chunks: DataFrame, question: Callable) -> DataFrame:
                 arrays = [pa.array(pages, pa.int32()), pa.array([chunk.chunk] * len(got), pa.int64()), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["page", "chunk", "blob"])
 
-    return chunks.mapInArrow(put, "page int, chunk long, blob binary")
+    return chunks.mapInArrow(frugal(put), "page int, chunk long, blob binary")
 
 
 def answer(questions: DataFrame, pages: int, reply: Callable) -> DataFrame:
@@ -218,6 +218,7 @@ def answer(questions: DataFrame, pages: int, reply: Callable) -> DataFrame:
         chunks = rows.column("chunk").to_pylist()
         blobs = reply(chunks, rows.column("blob").to_pylist())
         keep = [k for k, b in enumerate(blobs) if b is not None]
+        give_back()
         return pa.table({
             "page": pa.array([key[0].as_py()] * len(keep), pa.int32()),
             "chunk": pa.array([chunks[k] for k in keep], pa.int64()),

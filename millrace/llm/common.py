@@ -40,6 +40,30 @@ def batched(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def frugal(work):
+    """A function over Arrow batches that gives memory back when its partition ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

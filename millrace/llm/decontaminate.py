@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.common import RangeHash, batched, laid_out, slices
+from millrace.llm.common import RangeHash, batched, frugal, laid_out, slices
 from millrace.llm.toxicity import BREAK, LOWER
 
 LETTERS, WORDS = RangeHash(30), RangeHash(31)
@@ -188,7 +188,7 @@ def contaminated(
         # as many rows as a block has items
         numbered = spark.createDataFrame(list(enumerate(texts)), "number int, item_text string")
         items = names.join(F.broadcast(numbered), "item_text").select("number", "item")
-        return frame.mapInArrow(look, schema).join(items, "number")
+        return frame.mapInArrow(frugal(look), schema).join(items, "number")
 
     found = [search(texts) for texts in item_blocks(benchmark, text_column, block_bytes)]
     if not found:
@@ -215,6 +215,6 @@ def without_contaminated(
                         clean[k + a] = False
                 yield batch.filter(pa.array(clean))
 
-        return batched(rows).mapInArrow(keep, docs.schema)
+        return batched(rows).mapInArrow(frugal(keep), docs.schema)
 
     return reduce(without, item_blocks(benchmark, text_column, block_bytes), docs)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizer
-from millrace.llm.common import batched, saved
+from millrace.llm.common import batched, frugal, saved
 
 PIECES = "id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str, closing: int, id_colum
             yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return batched(docs).select(F.col(id_column).alias("id"), text_column).mapInArrow(encode, PIECES.format(kind=kind))
+    return batched(docs).select(F.col(id_column).alias("id"), text_column).mapInArrow(frugal(encode), PIECES.format(kind=kind))
 
 
 class Run:
@@ -234,4 +234,4 @@ def pack(
 
     kind = docs.schema[id_column].dataType.simpleString()
     out = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, out).withColumnRenamed("id", id_column)
+    return ranked.mapInArrow(frugal(place), out).withColumnRenamed("id", id_column)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import ChunkTable, opened, with_text
-from millrace.llm.common import SEPARATOR, batched, saved, word_ranges
+from millrace.llm.common import SEPARATOR, batched, frugal, saved, word_ranges
 from millrace.llm.graph import components
 
 #: The positions 1 to 63 of the perfect binary Hamming code of length 63, as bits of a fingerprint.
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["id", "fingerprint"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return batched(docs).select(F.col(id_column).alias("id"), text_column).mapInArrow(mark, f"id {kind}, fingerprint long")
+    return batched(docs).select(F.col(id_column).alias("id"), text_column).mapInArrow(frugal(mark), f"id {kind}, fingerprint long")
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
@@ -126,9 +126,9 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                     v.append(points[b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    placed = distinct.select("fingerprint").mapInArrow(replicate, "fingerprint long, anchor long")
+    placed = distinct.select("fingerprint").mapInArrow(frugal(replicate), "fingerprint long, anchor long")
     met = placed.groupBy("anchor").agg(F.collect_list("fingerprint").alias("held")).where(F.size("held") > 1)
-    return met.select("held").mapInArrow(compare, "u long, v long").distinct()
+    return met.select("held").mapInArrow(frugal(compare), "u long, v long").distinct()
 
 
 def labelled(marked: DataFrame, distance: int) -> DataFrame:
@@ -176,7 +176,7 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", t
                 arrays = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), ids.values, pa.array(np.frombuffer(notes.as_py(), dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["chunk", "place", "id", "fingerprint"])
 
-    places = chunks.rows().select("chunk", "ids", "notes").mapInArrow(listed, "chunk long, place int, id long, fingerprint long")
+    places = chunks.rows().select("chunk", "ids", "notes").mapInArrow(frugal(listed), "chunk long, place int, id long, fingerprint long")
     marked = saved(places, "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "chunk", "place")).alias("first")
     by_print = marked.groupBy("fingerprint").agg(first)
@@ -190,4 +190,4 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", t
                 texts = [c.data[a:b].tobytes().decode() for a, b in pairwise(c.bounds.tolist())]
                 yield with_text(columns, c, texts, text_column).take(kept.values.take(pc.sort_indices(kept.values)))
 
-    return met.mapInArrow(pick, docs.schema)
+    return met.mapInArrow(frugal(pick), docs.schema)

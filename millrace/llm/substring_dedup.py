@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.chunks import (
     CELL_BITS, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import RangeHash, saved, word_hashes
+from millrace.llm.common import RangeHash, frugal, saved, word_hashes
 
 BYTES, SKETCH, EXACT = RangeHash(1), RangeHash(2), RangeHash(3)
 
@@ -143,7 +143,7 @@ class SubstringDedup:
                 gone = covered(at[truly[which]] if len(at) else at, size, len(starts))
                 yield use(c, starts, ends, words, gone)
 
-        result = saved(chunks.answered(numbered([first, second])).mapInArrow(finish, schema), "substring-dedup")
+        result = saved(chunks.answered(numbered([first, second])).mapInArrow(frugal(finish), schema), "substring-dedup")
         chunks.drop()
         return result
 

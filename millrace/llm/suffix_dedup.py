@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.chunks import (
     CELL_BITS, Chunk, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import RangeHash, saved
+from millrace.llm.common import RangeHash, frugal, saved
 
 GRAMS = RangeHash(8)
 LOW = np.uint64((1 << CELL_BITS) - 1)
@@ -222,7 +222,7 @@ class SuffixDedup:
     equal windows of a chunk are combined first.  Nothing is capped: that way is exact as well.
     """
 
-    def __init__(self, size: int = 100, page_items: int = 1 << 20, page_bytes: int = 8 << 20, hot: int = 1 << 14):
+    def __init__(self, size: int = 100, page_items: int = 1 << 20, page_bytes: int = 4 << 20, hot: int = 1 << 14):
         if not 16 <= size <= 256:
             raise ValueError("windows of 16 to 256 bytes")
         self.size, self.page_items, self.page_bytes, self.hot = size, page_items, page_bytes, hot
@@ -379,7 +379,7 @@ class SuffixDedup:
         first = saved(answer(ask(chunks.rows(), count), pages, weigh).hint("rebalance"), "anchors")
         second = saved(answer(ask(chunks.answered(first), detail), 2 * pages, resolve).hint("rebalance"), "contexts")
         third = saved(answer(ask(chunks.answered(numbered([first, second])), show), text_pages, compare).hint("rebalance"), "suffixes")
-        result = saved(chunks.answered(numbered([first, second, third])).mapInArrow(finish, schema), "suffix-dedup")
+        result = saved(chunks.answered(numbered([first, second, third])).mapInArrow(frugal(finish), schema), "suffix-dedup")
         chunks.drop()
         return result
 

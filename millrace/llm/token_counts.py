@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizer
-from millrace.llm.common import batched
+from millrace.llm.common import batched, frugal
 
 
 def token_counts(
@@ -35,5 +35,5 @@ def token_counts(
         F.col(id_column).alias("id"),
         F.col(text_column).alias("text"),
         F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"),
-    ).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    ).mapInArrow(frugal(count), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, batched, slices, word_hashes
+from millrace.llm.common import RangeHash, batched, frugal, slices, word_hashes
 
 BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)  # a bucket is a 16-bit number
 PAD = max(WIDTHS) - 1
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: s
                 values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel().view(np.int16)))
                 yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "lang", "toxic", "fold"])
 
-    got = rows.mapInArrow(hashed, "ids array<short>, lang string, toxic int, fold int").toArrow().combine_chunks()
+    got = rows.mapInArrow(frugal(hashed), "ids array<short>, lang string, toxic int, fold int").toArrow().combine_chunks()
     y, part = got.column("toxic").to_numpy().astype(np.float32), got.column("fold").to_numpy()
     texts = [x.values.to_numpy().view(np.uint16).reshape(-1, len(REACH)) for x in got.column("ids")]
     spoken = got.column("lang").to_pylist()
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
     tongue = F.col(language) if language in docs.columns else F.lit(None)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = batched(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), tongue.cast("string").alias("lang"))
-    scored = rows.mapInArrow(apply, f"id {kind}, score double, threshold double")
+    scored = rows.mapInArrow(frugal(apply), f"id {kind}, score double, threshold double")
     return scored.select(
         F.col("id").alias(id_column), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"),
@@ -273,4 +273,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_column: str = "tex
             s, limits = verdicts(shared.value, batch.column(at), languages)
             yield batch.filter(pa.array(s < limits))
 
-    return batched(docs).mapInArrow(keep, docs.schema)
+    return batched(docs).mapInArrow(frugal(keep), docs.schema)
