@@ -40,7 +40,7 @@ def directory(path: Column) -> Column:
 
 def scan(
     files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES, stating: str = "name",
-    id_column: str = "doc_id", path_column: str = "path", text_column: str = "text",
+    id_column: str = "doc_id", path_column: str = "path", text_column: str = "text", frequencies: str = "notices",
 ) -> DataFrame:
     """Rows (id, path, license, similarity, origin, inherited_from), one for each input row, whole texts.
 
@@ -51,8 +51,9 @@ def scan(
     null path has no directory and inherits nothing, null ids stay null, repeated rows stay apart,
     an empty table gives no rows, other columns are ignored.
 
-    Inverse document frequencies come from all texts.  Templates bound the vocabulary, so the tables
-    that are collected or broadcast are bounded by them; directories are joined, however many.
+    Inverse document frequencies come from all texts.  With ``frequencies`` "all" those of every term
+    are counted; with "notices" a term that no template has weighs as if it stood in no text.  What is
+    collected or broadcast is bounded by the templates; other terms and directories are joined, however many.
     """
     spark = files.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -61,11 +62,14 @@ def scan(
     known = spark.range(1).select(F.inline(told)).select("license", "notice", F.explode(terms(F.col("text"))).alias("term"))
     vocabulary = sorted({r[0] for r in known.select("term").distinct().collect()})
     listed = F.array(*map(F.lit, vocabulary))
-    counts = files.select(F.explode_outer(F.array_intersect(terms(text), listed)).alias("term")).groupBy("term").count()
+    every = frequencies == "all"
+    seen = F.array_distinct(terms(text)) if every else F.array_intersect(terms(text), listed)
+    counts = files.select(F.explode(seen).alias("term")).groupBy("term").count()
+    counts = saved(counts, "license-terms") if every else counts
     n = files.count()
-    found = {r[0]: r[1] for r in counts.collect()}
+    found = {r[0]: r[1] for r in counts.where(F.array_contains(listed, F.col("term"))).collect()}
     idf = {t: log((n + 1) / (found.get(t, 0) + 1)) + 1 for t in vocabulary}
-    rare = log(n + 1) + 1  # of terms outside the vocabulary
+    rare = log(n + 1) + 1  # of terms that stand in no text
     weights = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, float(idf[t]))])
     weight = lambda term: F.coalesce(F.element_at(weights, term), F.lit(float(rare)))
     own = known.groupBy("license", "notice", "term").agg(F.count("*").alias("tf")).withColumn("w", F.col("tf") * weight(F.col("term")))
@@ -85,7 +89,13 @@ def scan(
     rows = saved(rows, "license-units")
 
     units = rows.select("row", F.explode("units").alias("u")).select("row", "u.line", F.explode("u.terms").alias("term"))
-    tf = units.groupBy("row", "line", "term").agg(F.count("*").alias("tf")).withColumn("w", F.col("tf") * weight(F.col("term")))
+    tf = units.groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
+    if every:
+        inside = F.array_contains(listed, F.col("term"))
+        others = tf.where(~inside).join(counts, "term").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("count") + 1)) + 1))
+        tf = tf.where(inside).withColumn("w", F.col("tf") * weight(F.col("term"))).unionByName(others.select("row", "line", "term", "tf", "w"))
+    else:
+        tf = tf.withColumn("w", F.col("tf") * weight(F.col("term")))
     sized = tf.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(F.broadcast(own), "term").groupBy("row", "line", "license", "notice").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
     scored = dots.join(sized, ["row", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)

@@ -35,7 +35,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     that holds a notice states its licence."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 200).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan.scan(docs.withColumn("path", path), stating="any")
+    return license_scan.scan(docs.withColumn("path", path), stating="any", frequencies="all")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,23 @@ def test_needed_terms_lose_nothing():
     units = [Unit(license="A", notice=0, unit=u, term=t) for t, u in (("x", 0.8), ("y", 0.5), ("z", 0.3317))]
     assert L.needed_terms(units, 0.7) == ["x"]
     assert L.needed_terms(units, 0.5) == ["x", "y"]
+
+
+def test_common_words_outside_the_notices_weigh_little(spark, tmp_path):
+    """The registered query counts the documents of every word, so common words don't hide a notice."""
+    from millrace.llm.queries import op6_license_scan
+
+    n, outside = 3000, "see that page file was here"
+    notice = "See that page: the file was licensed under the Apache License, Version 2.0, here unusually."
+    texts = [f"{outside} word{k % 50}" if k % 3 == 0 else f"word{k % 50} number{k}" for k in range(n - 1)] + [f"a line\n{notice}"]
+    rows = [(k, t, "en", "web") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [r for r in op6_license_scan(spark, str(tmp_path)).collect() if r["origin"] == "own"]
+
+    seen = Counter(t for text in texts for t in set(terms(text)))
+    weigh = lambda text: {t: k * (log((n + 1) / (seen[t] + 1)) + 1) for t, k in Counter(terms(text)).items()}
+    a = weigh(notice)
+    cosine = lambda b: sum(v * b.get(t, 0) for t, v in a.items()) / sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    want = max(cosine(weigh(t)) for t in L.TEMPLATES["Apache-2.0"])
+    assert [(r["doc_id"], r["license"]) for r in own] == [(n - 1, "Apache-2.0")]
+    assert own[0]["similarity"] == pytest.approx(want, abs=2e-6)
