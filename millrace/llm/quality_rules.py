@@ -2,14 +2,16 @@
 
 Sequential covering: a rule is a conjunction of thresholds that grows by information gain on one
 part of the labelled rows and is pruned on another; the rows it covers go, and the next rule is
-grown on the rest.  The rows enter as counts of binned statistics, so every labelled row counts and
-the search sees a table whose size is bounded by the number of bins, not by the corpus.
+grown on the rest.  For every condition Spark counts the rows left between quantiles of each
+feature, so every labelled row counts and the driver sees a table bounded by the number of bins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import log2
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ FEATURES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
 }
-CUTS = 4  # quantiles of each class that become thresholds of a feature
+#: Quantiles of each class that become thresholds of a feature, anew for the rows left by every rule and condition.
+POINTS = (0.0, 0.001, 0.005, *(k / 100 for k in range(1, 100)), 0.995, 0.999, 1.0)
 
 
 def let(value: Column, use) -> Column:
@@ -115,6 +118,53 @@ class DecisionList:
         return found
 
 
+def bin_of(feature: str, cuts: list[float]) -> str:
+    """SQL for how many of the sorted ``cuts`` are less than the feature, by halving."""
+
+    def between(a: int, b: int) -> str:
+        if a == b:
+            return str(a)
+        k = (a + b) // 2
+        return f"if({feature} > {cuts[k]!r}D, {between(k + 1, b)}, {between(a, k)})"
+
+    return between(0, len(cuts))
+
+
+def next_condition(held: DataFrame) -> Condition | None:
+    """The condition with the most information gain on rows (quality, features), if any gains.
+
+    The driver gets len(POINTS) values of each class and feature, and a count for each bin between them.
+    """
+    found = held.groupBy("quality").agg(*[F.percentile_approx(f, list(POINTS), 10_000).alias(f) for f in FEATURES]).collect()
+    if len(found) < 2:
+        return None
+    cuts = {f: sorted({float(x) for r in found for x in r[f]}) for f in FEATURES}
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.expr(bin_of(f, cuts[f])).alias("bin"), F.col(f).alias("value")) for f in FEATURES])
+    cells = held.select("quality", F.explode(each).alias("x")).groupBy("x.feature", "x.bin", "quality").agg(F.count("*").alias("n"), F.min("x.value").alias("least"))
+    sums = {f: [[0, 0] for _ in range(len(cuts[f]) + 1)] for f in FEATURES}
+    least: dict[tuple[str, int], float] = {}
+    for r in cells.collect():
+        sums[r["feature"]][r["bin"]][r["quality"] != 0] += r["n"]
+        at = r["feature"], r["bin"]
+        least[at] = min(least.get(at, r["least"]), r["least"])
+    best = (1e-9, None)
+    for f in FEATURES:
+        p0, n0 = (sum(s[k] for s in sums[f]) for k in (0, 1))
+        below = [0, 0]
+        for k in range(len(cuts[f])):
+            below = [below[0] + sums[f][k][0], below[1] + sums[f][k][1]]
+            for above, (p, n) in ((False, below), (True, (p0 - below[0], n0 - below[1]))):
+                if p:
+                    gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))
+                    best = max(best, (gain, (f, above, k)), key=lambda b: b[0])
+    if best[1] is None:
+        return None
+    f, above, k = best[1]
+    # the threshold stands in the middle between the cut and the next larger value that a row has
+    following = next((least[f, b] for b in range(k + 1, len(cuts[f]) + 1) if (f, b) in least), cuts[f][k])
+    return Condition(f, above, (cuts[f][k] + following) / 2)
+
+
 def learn(
     stats: DataFrame, labels: DataFrame, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.8, id_column: str = "doc_id"
 ) -> DecisionList:
@@ -130,53 +180,32 @@ def learn(
     features = [F.expr(sql).alias(name) for name, sql in FEATURES.items()]
     rows = stats.join(known, "id").select("quality", (fold == 1).alias("prunes"), *features, fold.alias("fold")).where("fold <> 0")
     rows = saved(rows, "labelled")
-    points = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    found = rows.groupBy("quality").agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).collect()
-    if len(found) < 2:
+    if rows.select("quality").distinct().count() < 2:
         return DecisionList(())
-    cuts = {f: sorted({float(x) for r in found for x in r[f]}) for f in FEATURES}
-    # a threshold stands in the middle between the cut and the next larger value that a row has
-    above = [F.min(F.when(F.col(f) > c, F.col(f))).alias(f"{f}_{k}") for f in FEATURES for k, c in enumerate(cuts[f])]
-    following = rows.agg(*above).first()
-    bins = [sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
-    # at most (2 * CUTS + 1) ** len(FEATURES) cells for each of four kinds of row, and never more than labelled rows
-    cells = rows.select("quality", "prunes", *bins).groupBy("quality", "prunes", *FEATURES).count().collect()
-    bad_good = lambda held: (sum(r["count"] for r in held if r["quality"] == 0), sum(r["count"] for r in held if r["quality"] != 0))
-    left, rules = cells, []
+    matches = lambda cs: reduce(and_, (F.col(c.feature) > c.threshold if c.above else F.col(c.feature) <= c.threshold for c in cs), F.lit(True))
+    left, rules = rows, []
     while len(rules) < max_rules:
-        grow, prune = [r for r in left if not r["prunes"]], [r for r in left if r["prunes"]]
-        conditions: list[tuple[str, bool, int]] = []
-        matches = lambda r, cs: all((r[f] > k) == above for f, above, k in cs)
-        held = grow
+        grow, prune = left.where(~F.col("prunes")), left.where("prunes")
+        conditions: list[Condition] = []
         while len(conditions) < max_conditions:
-            p0, n0 = bad_good(held)
-            if not p0 or not n0:
-                break
-            best = (0.0, None)
-            for f in FEATURES:
-                sums = [[0, 0] for _ in range(len(cuts[f]) + 1)]
-                for r in held:
-                    sums[r[f]][r["quality"] != 0] += r["count"]
-                below = [0, 0]
-                for k in range(len(cuts[f])):
-                    below = [below[0] + sums[k][0], below[1] + sums[k][1]]
-                    for above, (p, n) in ((False, below), (True, (p0 - below[0], n0 - below[1]))):
-                        if p:
-                            gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))
-                            best = max(best, (gain, (f, above, k)), key=lambda b: b[0])
-            if best[1] is None or best[0] <= 1e-9:
+            best = next_condition(grow.where(matches(conditions)))
+            if best is None:
                 break
-            conditions.append(best[1])
-            held = [r for r in held if matches(r, [best[1]])]
-        worth = lambda cs: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*bad_good([r for r in prune if matches(r, cs)]))
-        while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
+            conditions.append(best)
+        if not conditions:
+            break
+        # bad and good rows that prune, for every beginning of the rule
+        ends = range(1, len(conditions) + 1)
+        held = [F.count(F.when(matches(conditions[:k]) & ((F.col("quality") == 0) == bad), 1)) for k in ends for bad in (F.lit(True), F.lit(False))]
+        counts = list(prune.agg(*[c.alias(f"c{k}") for k, c in enumerate(held)]).first())
+        worth = lambda k: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*counts[2 * k - 2 : 2 * k])
+        while len(conditions) > 1 and worth(len(conditions) - 1) >= worth(len(conditions)):
             conditions.pop()
-        p, n = bad_good([r for r in prune if matches(r, conditions)])
-        if not conditions or p + 1 < precision * (p + n + 2):
+        p, n = counts[2 * len(conditions) - 2 : 2 * len(conditions)]
+        if p + 1 < precision * (p + n + 2):
             break
-        middle = lambda f, k: (cuts[f][k] + (cuts[f][k] if (x := following[f"{f}_{k}"]) is None else x)) / 2
-        rules.append(tuple(Condition(f, above, middle(f, k)) for f, above, k in conditions))
-        left = [r for r in left if not matches(r, conditions)]
+        rules.append(tuple(conditions))
+        left = left.where(~matches(conditions))
     return DecisionList(tuple(rules))
 
 

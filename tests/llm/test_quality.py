@@ -54,6 +54,25 @@ def test_learned_rules_separate(spark):
     assert [str(c).split(" ")[0] for rule in rules for c in rule] == ["symbol_share"] or rules
 
 
+def test_a_defect_of_few_bad_rows_is_found(spark):
+    """15 % of the bad rows are in capitals, the others full of symbols; every row has some capitals."""
+    rnd = random.Random(6)
+
+    def say(kind):
+        share = rnd.uniform(0, 0.5)
+        w = ["word%d" % rnd.randrange(10**6) for _ in range(rnd.randint(60, 90))]
+        w = [x.capitalize() if rnd.random() < share else x for x in w]
+        return " ".join(x + "%%%" if kind == "symbols" else x.upper() if kind == "capitals" else x for x in w)
+
+    kinds = [rnd.choices(["good", "symbols", "capitals"], [75, 21, 4])[0] for _ in range(2400)]
+    rows = [(k, say(kind), kind, int(kind == "good")) for k, kind in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, quality int").repartition(3)
+    got = Q.quality(df.drop("quality", "kind"), df.select("doc_id", "quality")).join(df, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    kept = {r["kind"]: (r["all"], r["kept"]) for r in got.groupBy("kind").agg(F.count("*").alias("all"), F.count(F.when(F.col("kept"), 1)).alias("kept")).collect()}
+    assert kept["capitals"][0] >= 10 and kept["capitals"][1] == 0 and kept["symbols"][1] == 0
+    assert kept["good"][1] >= 0.99 * kept["good"][0]
+
+
 def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = Q.quality(docs, none).collect()
