@@ -171,15 +171,16 @@ class ToxicityModel:
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.5) -> float:
     """The threshold with the best F1, in the middle of the gap that gives it."""
-    if labels.sum() == 0 or labels.sum() == len(labels):
+    minus, at = np.unique(-scores, return_inverse=True)
+    return best_cut(-minus, -minus, np.bincount(at), np.bincount(at, labels), default)
+
+
+def best_cut(least: np.ndarray, most: np.ndarray, rows: np.ndarray, toxic: np.ndarray, default: float = 0.5) -> float:
+    """The best F1's threshold between bins of falling score, of which all or no rows are flagged."""
+    if toxic.sum() == 0 or toxic.sum() == rows.sum():
         return default
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+    k = int(np.argmax(2 * np.cumsum(toxic) / (np.cumsum(rows) + toxic.sum())))
+    return float((least[k] + (most[k + 1] if k + 1 < len(most) else 0.0)) / 2)
 
 
 def fold(column: str):
@@ -190,44 +191,66 @@ def fold(column: str):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> ToxicityModel:
     """Train on at most ``max_rows`` labelled rows, the first by a hash of their ids, whole texts.
 
-    Rows of fold 0 are never used.  Fold 1 does not train the network: it calibrates a threshold
-    for each language that has both labels there, and one over all for the others.
+    Rows of fold 0 are never used.  Fold 1 does not train the network: all its labelled rows calibrate
+    a threshold for each language that has both labels there, and one over all for the others.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & (fold(id_column) != 0))
     known = known.groupBy(id_column).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    known = known.orderBy(F.xxhash64(id_column), id_column).limit(max_rows)
+    held = known.where(fold(id_column) == 1)
+    known = known.where(fold(id_column) != 1).orderBy(F.xxhash64(id_column), id_column).limit(max_rows)
     tongue = F.col(language) if language in docs.columns else F.lit(None)
     rows = batched(docs).select(id_column, F.col(text_column).alias("_text"), tongue.cast("string").alias("_lang"))
-    rows = rows.join(F.broadcast(known), id_column).select("_text", "_lang", "_toxic", fold(id_column).cast("int").alias("_fold"))
+    labelled = rows.join(F.broadcast(known), id_column).select("_text", "_toxic")
 
     def hashed(batches):
         for batch in batches:
             for data, bounds, a, b in slices(batch.column(0)):
                 ids, bounds = features(data, bounds)
                 values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel().view(np.int16)))
-                yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "lang", "toxic", "fold"])
+                yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "toxic"])
 
-    got = rows.mapInArrow(frugal(hashed), "ids array<short>, lang string, toxic int, fold int").toArrow().combine_chunks()
-    y, part = got.column("toxic").to_numpy().astype(np.float32), got.column("fold").to_numpy()
+    got = labelled.mapInArrow(frugal(hashed), "ids array<short>, toxic int").toArrow().combine_chunks()
+    y = got.column("toxic").to_numpy().astype(np.float32)
     texts = [x.values.to_numpy().view(np.uint16).reshape(-1, len(REACH)) for x in got.column("ids")]
-    spoken = got.column("lang").to_pylist()
     # rows come in any order: fix one, so that equal tables give equal models
-    order = sorted(range(len(y)), key=lambda k: (part[k], y[k], len(texts[k]), texts[k].tobytes()))
-    train, held = [k for k in order if part[k] != 1], [k for k in order if part[k] == 1]
+    train = sorted(range(len(y)), key=lambda k: (y[k], len(texts[k]), texts[k].tobytes()))
     if len({float(y[k]) for k in train}) < 2:
         return ToxicityModel(None, {}, 0.5)
     network = TextCnn.start([texts[k] for k in train], y[train])
     network.train([texts[k] for k in train], y[train])
-    if not held:
-        return ToxicityModel(network, {}, 0.5)
-    bounds = np.concatenate([[0], np.cumsum([len(texts[k]) for k in held])])
-    s, t = network.scores(np.concatenate([texts[k] for k in held]), bounds), y[held]
-    by = {}
-    for tongue in {spoken[k] for k in held if spoken[k] is not None}:
-        mine = np.array([spoken[k] == tongue for k in held])
-        if 0 < t[mine].sum() < mine.sum():
-            by[tongue] = best_threshold(s[mine], t[mine])
-    return ToxicityModel(network, by, best_threshold(s, t))
+    by, over_all = calibrated(rows.where(fold(id_column) == 1), held, network, id_column)
+    return ToxicityModel(network, by, over_all)
+
+
+BINS = 64  # score bins for each unit of the logit
+
+
+def calibrated(rows: DataFrame, held: DataFrame, network: TextCnn, id_column: str) -> tuple[dict[str, float], float]:
+    """Thresholds by language, and over all, from every row (id, _text, _lang) that ``held`` labels.
+
+    Texts are scored where they lie, and only scores meet the labels.  The driver gets counts by
+    language, label and bin of the score: at most 60 * BINS + 1 bins, whatever the corpus.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(ToxicityModel(network, {}, 0.5))
+
+    def apply(batches):
+        for batch in batches:
+            s, _ = verdicts(shared.value, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s)], ["id", "lang", "score"])
+
+    kind = rows.schema[id_column].dataType.simpleString()
+    scored = rows.mapInArrow(frugal(apply), f"id {kind}, lang string, score double").join(held.withColumnRenamed(id_column, "id"), "id")
+    part = F.floor(F.log(F.col("score") / (1 - F.col("score"))) * BINS).alias("bin")
+    counted = scored.groupBy("lang", part).agg(F.count("*").alias("n"), F.sum("_toxic").alias("toxic"), F.min("score").alias("least"), F.max("score").alias("most"))
+    langs: dict = {}
+    whole: dict = {}
+    for r in counted.collect():
+        langs.setdefault(r["lang"], []).append((r["least"], r["most"], r["n"], r["toxic"]))
+        a = whole.get(r["bin"], (1.0, 0.0, 0, 0))
+        whole[r["bin"]] = (min(a[0], r["least"]), max(a[1], r["most"]), a[2] + r["n"], a[3] + r["toxic"])
+    cut = lambda bins: best_cut(*map(np.array, zip(*sorted(bins, reverse=True), strict=True)))
+    both = lambda bins: 0 < sum(b[3] for b in bins) < sum(b[2] for b in bins)
+    return {x: cut(bins) for x, bins in langs.items() if x is not None and both(bins)}, cut(whole.values()) if whole else 0.5
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> DataFrame:

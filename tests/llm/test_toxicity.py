@@ -96,3 +96,21 @@ def test_thresholds():
     assert X.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
     assert X.best_threshold(np.array([0.9]), np.array([0])) == 0.5
     assert X.best_threshold(np.array([0.5, 0.5, 0.1]), np.array([1, 0, 0])) == pytest.approx(0.3)
+
+
+def test_all_calibrating_labels_count(spark):
+    """``max_rows`` bounds the rows that train, not those that give thresholds."""
+    from pyspark.sql import functions as F
+
+    df = labelled(spark).withColumn("lang", F.when(F.col("doc_id") % 16 == 0, "xx").otherwise(F.col("lang"))).cache()
+    model = X.fit(df.drop("toxic"), df.select("doc_id", "toxic"), max_rows=60)
+    assert set(model.thresholds) == {"en", "de", "xx"}
+    got = X.score(df.drop("toxic"), model).join(df.select("doc_id", "lang", "toxic"), "doc_id").where(X.fold("doc_id") == 1).collect()
+
+    def f1(rows, threshold):
+        flagged = [r["toxic"] for r in rows if r["score"] >= threshold]
+        return 2 * sum(flagged) / (len(flagged) + sum(r["toxic"] for r in rows))
+
+    for lang, threshold in model.thresholds.items():
+        mine = [r for r in got if r["lang"] == lang]
+        assert f1(mine, threshold) >= max(f1(mine, r["score"]) for r in mine) - 0.02
