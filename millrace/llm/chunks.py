@@ -17,44 +17,82 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc
 import pyarrow.compute as pc
+import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batched, frugal, give_back, laid_out, quoted, removed, scratch, text_bytes
+from millrace.llm.common import batched, frugal, give_back, laid_out, quoted, saved, scratch
+from millrace.sources.scratch import delete, hold, settings, undo
 
 CELL_BITS = 28
 CHUNK = "part int, chunk long, ids array<long>, lengths array<int>, body binary, notes binary, rest binary"
+#: Bits of a chunk's number: its part, the task that wrote it, and which of the task's chunks it is.
+TASK_BITS, NTH_BITS = 22, 20
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's hash() gives for ints: Murmur3 of 32 bits with seed 42."""
+    turned = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    h = np.uint32(42) ^ (turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h.view(np.int32)
+
+
+def even_keys(n: int) -> np.ndarray:
+    """For each of n buckets or partitions the least int that Spark puts there by its hash.
+
+    Keys by number would fall together in some buckets and leave others empty.
+    """
+    out, at, step = np.full(n, -1, dtype=np.int64), 0, max(1024, 4 * n)
+    while (out < 0).any():
+        numbers = np.arange(at, at + step)
+        where, first = np.unique(spark_hash(numbers).astype(np.int64) % n, return_index=True)
+        free = out[where] < 0
+        out[where[free]] = numbers[first[free]]
+        at += step
+    return out
 
 
 class ChunkTable:
     """Whole texts in chunks of about ``chunk_bytes``; one longer text is a chunk of its own.
 
-    Chunks and pages grow with the input, within bounds, so that a chunk's question to a page still
-    holds several hashes when there are very many of both: 0.5 to 32 MB of text, and up to eight
-    times an operator's usual number of hashes a page.
+    A task's chunks go to buckets of about ``bucket_bytes``, each to its own, so that later tasks
+    are of even size.  Chunks and pages grow with the input, within bounds, so that a chunk's
+    question to a page still holds several hashes when there are very many of both: 0.5 to 32 MB of
+    text, and up to eight times an operator's usual number of hashes a page.
 
     ``note(data, bounds)`` may add a packed value that later passes read instead of working it out
-    again.  With ``carry`` the other columns of ``docs`` travel with their texts.
+    again.  With ``carry`` the other columns of ``docs`` travel with their texts.  Ids are longs.
     """
 
     def __init__(
-        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int | None = None,
+        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int | None = None, bucket_bytes: int = 16 << 20,
         id_column: str = "doc_id", text_column: str = "text",
     ):
         self.spark = docs.sparkSession
-        self.total = text_bytes(docs, text_column)
+        if docs.schema[id_column].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+            raise ValueError(f"{id_column!r} must be an integer column")
+        sizes = docs.select(F.octet_length(F.col(quoted(text_column))).alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task")).first()
+        self.total, tasks = int(sizes[0] or 0), int(sizes[1] or 0) + 1
         chunk_bytes = chunk_bytes or int(np.clip(self.total >> 15, 1 << 19, 32 << 20))
-        self.buckets = int(np.clip(self.total >> 24, 1, 100_000))
-        # the join by part and chunk may rest on the buckets by part alone
-        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        each = max(1, -(-self.total // (tasks * bucket_bytes)))  # buckets for every task
+        self.buckets = min(tasks * each, 100_000)  # Spark's limit; beyond it several share a bucket
+        share, keys = max(1, -(-self.total // (tasks * each))), even_keys(self.buckets)
         self.path, self.name = scratch(self.spark, "chunks"), f"millrace_chunks_{uuid.uuid4().hex}"
 
         def gather(batches):
-            part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+            task, nth, held, size, before = TaskContext.get().partitionId(), 0, [], 0, 0
+
+            def row():
+                part = int(keys[(task * each + before // share % each) % len(keys)])
+                return packed(part, (((part << TASK_BITS) + task) << NTH_BITS) + nth, held, note)
+
             for batch in batches:
                 batch_bounds = laid_out(batch.column(1))[1]
                 at = 0
@@ -65,15 +103,16 @@ class ChunkTable:
                     size += int(batch_bounds[to] - batch_bounds[at])
                     at = to
                     if size >= chunk_bytes or at < batch.num_rows:
-                        yield packed(part, nth, held, note)
-                        nth, held, size = nth + 1, [], 0
+                        yield row()
+                        nth, held, before, size = nth + 1, [], before + size, 0
             if held:
-                yield packed(part, nth, held, note)
+                yield row()
 
         others = [c for c in docs.columns if c != text_column] if carry else []
         rest = [F.col(quoted(c)).alias(f"rest{k}") for k, c in enumerate(others)]
         frame = batched(docs).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
         writer = frame.mapInArrow(frugal(gather), CHUNK).write.bucketBy(self.buckets, "part").option("path", self.path)
+        hold(self.name, self._gone)
         # bodies are compressed already, and large values should not pass a codec's buffers again
         writer.format("parquet").option("compression", "uncompressed").saveAsTable(self.name)
 
@@ -89,17 +128,27 @@ class ChunkTable:
         return self.joined(answers, F.struct("page", "blob"), "answers", "left")
 
     def joined(self, rows: DataFrame, value, name: str, how: str) -> DataFrame:
-        """The chunks with a list of the values that ``rows`` have for each."""
-        part = F.shiftright("chunk", 32).cast("int").alias("part")
+        """The chunks with a list of the values that ``rows`` have for each; for plans that ``saved`` runs."""
+        part = F.shiftright("chunk", TASK_BITS + NTH_BITS).cast("int").alias("part")
         moved = rows.select(part, "chunk", value.alias(name)).repartition(self.buckets, "part")
         return self.rows().join(moved.groupBy("part", "chunk").agg(F.collect_list(name).alias(name)), ["part", "chunk"], how)
 
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """``saved``, with joins by part and chunk resting on the buckets by part alone."""
+        with settings(self.spark, spark_sql_requireAllClusterKeysForCoPartition="false"):
+            return saved(df, name)
+
+    def _gone(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            delete(self.spark, self.path)
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        removed(self.spark, self.path)
+        undo(self.name)
+        undo(self.path)
 
 
-def packed(part: int, nth: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.RecordBatch:
+def packed(part: int, chunk: int, held: list[pa.RecordBatch], note: Callable | None) -> pa.RecordBatch:
     rows = pa.concat_batches(held)
     rows = rows.take(pc.sort_indices(rows.column(0), null_placement="at_end"))
     data, bounds = laid_out(rows.column(1))
@@ -116,7 +165,7 @@ def packed(part: int, nth: int, held: list[pa.RecordBatch], note: Callable | Non
             stream.write_batch(others)
         rest = sink.getvalue().to_pybytes()
     names = ["part", "chunk", "ids", "lengths", "body", "notes", "rest"]
-    arrays = [pa.array([part], pa.int32()), pa.array([(part << 32) + nth], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes, pa.array([rest], pa.binary())]
+    arrays = [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), ids, lengths, pa.array([body], pa.binary()), notes, pa.array([rest], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -154,10 +203,19 @@ def located(hashes: np.ndarray, pages: int) -> np.ndarray:
     return (page << np.uint64(CELL_BITS)) | (hashes & np.uint64((1 << CELL_BITS) - 1))
 
 
-def by_page(cells: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(page, start, end) of the stretches of sorted ``located`` numbers."""
-    if len(cells):
-        page = (cells >> np.uint64(CELL_BITS)).astype(np.int64)
+def page_of(cells: np.ndarray) -> np.ndarray:
+    """The pages of ``located`` numbers."""
+    return (cells >> np.uint64(CELL_BITS)).astype(np.int64)
+
+
+def ranged(hashes: np.ndarray, pages: int) -> np.ndarray:
+    """Pages as ranges of the hashes' upper half, so that sorted hashes lie page by page."""
+    return (((hashes >> np.uint64(32)) * np.uint64(pages)) >> np.uint64(32)).astype(np.int64)
+
+
+def by_page(page: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(page, start, end) of the stretches of sorted page numbers."""
+    if len(page):
         starts = np.concatenate([[0], np.flatnonzero(np.diff(page)) + 1, [len(page)]])
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             yield int(page[a]), a, b
@@ -193,39 +251,41 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def ask(chunks: DataFrame, question: Callable) -> DataFrame:
-    """Rows (page, chunk, blob); ``question`` yields (page, blob) for one opened chunk."""
+#: Tasks that answer, at most; each works on its pages one after the other.
+MOST_TASKS = 1 << 15
+
+
+def replies(chunks: DataFrame, question: Callable, pages: int, reply: Callable) -> DataFrame:
+    """Rows (page, chunk, blob): what pages answer to what chunks ask.
+
+    ``question`` yields (page, blob) for one opened chunk, and ``reply`` gives a blob or None for
+    each of one page's blobs.  There are as many tasks as pages, up to ``MOST_TASKS``, and each page
+    has its own: a page is bounded work, and small questions can be long work.
+    """
+    slots = even_keys(min(pages, MOST_TASKS))
 
     def put(batches):
         for chunk in opened(batches):
             got = list(question(chunk))
             if got:
-                pages, blobs = zip(*got, strict=True)
-                arrays = [pa.array(pages, pa.int32()), pa.array([chunk.chunk] * len(got), pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["page", "chunk", "blob"])
-
-    return chunks.mapInArrow(frugal(put), "page int, chunk long, blob binary")
-
-
-def answer(questions: DataFrame, pages: int, reply: Callable) -> DataFrame:
-    """Rows (page, chunk, blob): ``reply`` gives a blob or None for each of one page's blobs.
-
-    There are as many tasks as pages: a page is bounded work, and small questions can be long work.
-    """
+                asked, blobs = zip(*got, strict=True)
+                arrays = [pa.array(slots[np.array(asked) % len(slots)], pa.int32()), pa.array(asked, pa.int32()), pa.array([chunk.chunk] * len(got), pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["slot", "page", "chunk", "blob"])
 
     def decide(key, rows):
         rows = rows.combine_chunks()
-        chunks = rows.column("chunk").to_pylist()
-        blobs = reply(chunks, rows.column("blob").to_pylist())
+        asking = rows.column("chunk").to_pylist()
+        blobs = reply(asking, rows.column("blob").to_pylist())
         keep = [k for k, b in enumerate(blobs) if b is not None]
         give_back()
         return pa.table({
-            "page": pa.array([key[0].as_py()] * len(keep), pa.int32()),
-            "chunk": pa.array([chunks[k] for k in keep], pa.int64()),
+            "page": pa.array([key[1].as_py()] * len(keep), pa.int32()),
+            "chunk": pa.array([asking[k] for k in keep], pa.int64()),
             "blob": pa.array([blobs[k] for k in keep], pa.binary()),
         })
 
-    return questions.repartition(pages, "page").groupBy("page").applyInArrow(decide, "page int, chunk long, blob binary")
+    asked = chunks.mapInArrow(frugal(put), "slot int, page int, chunk long, blob binary")
+    return asked.repartition(len(slots), "slot").groupBy("slot", "page").applyInArrow(decide, "page int, chunk long, blob binary")
 
 
 def planes(*flags: np.ndarray) -> bytes | None:
@@ -233,10 +293,10 @@ def planes(*flags: np.ndarray) -> bytes | None:
     return b"".join(np.packbits(f).tobytes() for f in flags) if any(f.any() for f in flags) else None
 
 
-def bits(answers: dict[int, bytes], cells: np.ndarray, plane: int = 0, first_page: int = 0) -> np.ndarray:
-    """The answered bit of each of a chunk's sorted distinct cells (no answer: 0)."""
-    out = np.zeros(len(cells), dtype=bool)
-    for page, a, b in by_page(cells):
+def bits(answers: dict[int, bytes], pages: np.ndarray, plane: int = 0, first_page: int = 0) -> np.ndarray:
+    """The answered bit of each of a chunk's sorted distinct items, by their pages (no answer: 0)."""
+    out = np.zeros(len(pages), dtype=bool)
+    for page, a, b in by_page(pages):
         if first_page + page in answers:
             size = -(-(b - a) // 8)
             raw = np.frombuffer(answers[first_page + page], np.uint8, size, plane * size)

@@ -5,13 +5,14 @@ Scratch tables live under the folder that ``spark.checkpoint.dir`` names, which
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.scratch import scratch
+from millrace.sources.scratch import scratch, undo
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -23,7 +24,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 BATCH_BYTES = 4 << 20
@@ -64,11 +67,10 @@ def frugal(work):
     return run
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more."""
+    for t in tables:
+        undo(t._scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +106,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Hash of any element range of an array from one prefix sum (arithmetic mod 2**64)."""
+    """Hash of any element range of an array from one prefix sum (arithmetic mod 2**64).
+
+    Equal ranges have equal hashes, which is all it is for: it says where ranges meet and which are
+    worth a look.  Different ranges of a regular build can have equal hashes whatever the seed, so
+    what is equal is decided by ``digests`` or by the bytes themselves.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -142,6 +149,16 @@ class RangeHash:
         return mixed((prefix[size:] - prefix[:-size]) * self.down[:n])
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of the SHA-256 of each data[start:end], as two columns."""
+    out, sha = np.empty((len(starts), 2), dtype="<u8"), hashlib.sha256
+    for k in range(0, len(starts), 1 << 16):  # in parts, since each digest is an object at first
+        some = zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist(), strict=True)
+        raw = b"".join([sha(data[a:b]).digest() for a, b in some])
+        out[k : k + (1 << 16)] = np.frombuffer(raw, dtype="<u8").reshape(-1, 4)[:, :2]
+    return np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1])
+
+
 def laid_out(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow text column laid end to end, and the bounds of its texts (null: empty)."""
     import pyarrow as pa

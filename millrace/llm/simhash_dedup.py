@@ -181,7 +181,6 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", t
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "chunk", "place")).alias("first")
     by_print = marked.groupBy("fingerprint").agg(first)
     least = labelled(marked, distance).join(by_print, "fingerprint").groupBy("label").agg(F.min("first").alias("first"))
-    met = chunks.joined(least.select("first.chunk", "first.place"), F.col("place"), "places", "inner")
     columns = docs.columns
 
     def pick(batches):
@@ -190,4 +189,8 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_column: str = "doc_id", t
                 texts = [c.data[a:b].tobytes().decode() for a, b in pairwise(c.bounds.tolist())]
                 yield with_text(columns, c, texts, text_column).take(kept.values.take(pc.sort_indices(kept.values)))
 
-    return met.mapInArrow(frugal(pick), docs.schema)
+    met = chunks.joined(least.select("first.chunk", "first.place"), F.col("place"), "places", "inner")
+    try:
+        return chunks.saved(met.mapInArrow(frugal(pick), docs.schema), "one-of-each")
+    finally:
+        chunks.drop()

@@ -10,21 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import (
-    CELL_BITS, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
+    CELL_BITS, ChunkTable, bits, by_page, located, numbered, opened, pack, page_of, planes, ranged, replies, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import RangeHash, frugal, saved, word_hashes
+from millrace.llm.common import SEPARATOR, RangeHash, digests, dropped, frugal, mixed, word_hashes
 
-BYTES, SKETCH, EXACT = RangeHash(1), RangeHash(2), RangeHash(3)
+BYTES, SKETCH = RangeHash(1), RangeHash(2)
+LOW = np.uint64((1 << CELL_BITS) - 1)
 
 
 def window_hashes(data: np.ndarray, bounds: np.ndarray, size: int):
-    """Word ranges, words before each text, and the starts of its windows with two hashes of each."""
+    """Word ranges, words before each text, and the starts of its windows with a hash of each."""
     starts, ends, (words,) = word_hashes(BYTES, data, bounds)
     first = np.searchsorted(starts, bounds)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     n = max(0, len(words) - size + 1)
     at = np.flatnonzero(text[:n] == text[size - 1 : size - 1 + n])
-    return starts, ends, first, at, SKETCH.windows(SKETCH.prefix(words), size)[at], EXACT.windows(EXACT.prefix(words), size)[at]
+    return starts, ends, first, at, SKETCH.windows(SKETCH.prefix(words), size)[at]
+
+
+def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the windows at ``at``: of their words, joined by one space each."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    keep = ~SEPARATOR[data]
+    # one separator after each word, but where the next text begins at once; no window crosses that
+    after = ends[ends < len(data)]
+    keep[after] = True
+    line = data[keep]
+    line[SEPARATOR[line]] = 0x20
+    gap = np.zeros(len(ends), dtype=np.int64)
+    gap[: len(after)] = SEPARATOR[data[after]]
+    lengths = ends - starts
+    begin = np.cumsum(lengths + gap) - lengths - gap
+    return digests(line.tobytes(), begin[at], begin[at + size - 1] + lengths[at + size - 1])
 
 
 def repeated(values: np.ndarray) -> np.ndarray:
@@ -48,103 +66,93 @@ def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
+def kinds(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal columns are of one kind: the first row of each kind, in order, and every row's kind."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 class SubstringDedup:
     """Repeated windows of ``size`` words, found in two passes over chunks of whole texts.
 
-    Pass 1, the count-min sketch: every chunk counts its windows' cells up to two; the counts of all
-    chunks are merged page by page (a page is a range of the sketch's row), and a count of two or
-    more, which can be too high but never too low, comes back as one bit a cell.  The row has
-    2**28 cells a page and a page for every ``page_items`` windows of the input, so estimates stay as
-    sharp when the input grows.  Pass 2 groups only the windows estimated repeated, by cell and a
-    second 64-bit hash, and tells each chunk which of them truly are.
+    Pass 1, the count-min sketch of ``depth`` rows: every chunk counts its windows' cells in each
+    row up to two; the sketches of all chunks are added page by page (a page is a range of a row),
+    and whether a count is two or more, which can be too high but never too low, comes back as one
+    bit a cell.  A window is estimated repeated if all its rows say so.  A row has a page of 2**28
+    cells for every ``page_items`` windows of the input, so estimates stay as sharp when the input
+    grows.  Pass 2 groups only the windows estimated repeated, by 128-bit digests of their words,
+    and tells each chunk which of them truly are.
     """
 
-    def __init__(self, size: int = 35, page_items: int = 4 << 20):
-        self.size, self.page_items = size, page_items
+    def __init__(self, size: int = 35, page_items: int = 4 << 20, depth: int = 1):
+        self.size, self.page_items, self.depth = size, page_items, depth
 
     def run(self, docs: DataFrame, use, schema, carry: bool = False, **names) -> DataFrame:
         """``use(chunk, starts, ends, first, gone)`` makes a batch for each chunk; the result is a written table."""
-        chunks, size = ChunkTable(docs, carry=carry, **names), self.size
+        chunks, size, depth = ChunkTable(docs, carry=carry, **names), self.size, self.depth
         pages = chunks.pages(chunks.total // 6, self.page_items)
 
-        def distinct(h, digest):
-            """A chunk's distinct windows by cell, how to find each window's, and whether it has several."""
-            cells = located(h, pages)
-            order = np.lexsort((digest, cells))
-            cells, digest = cells[order], digest[order]
-            new = np.ones(len(cells), dtype=bool)
-            new[1:] = (cells[1:] != cells[:-1]) | (digest[1:] != digest[:-1])
-            which = np.empty(len(cells), dtype=np.int64)
-            which[order] = np.cumsum(new) - 1
-            many = np.diff(np.append(np.flatnonzero(new), len(cells))) > 1
-            return cells[new], digest[new], which, many
-
-        def sketch(cells, many):
-            """Distinct cells with counts up to two, and which is each window's."""
-            new = np.ones(len(cells), dtype=bool)
-            new[1:] = cells[1:] != cells[:-1]
-            starts = np.flatnonzero(new)
-            count = np.add.reduceat(many + 1, starts) if len(starts) else np.zeros(0, dtype=np.int64)
-            return cells[new], count > 1, np.cumsum(new) - 1
-
-        low = np.uint64((1 << CELL_BITS) - 1)
+        def rows(h):
+            """A chunk's distinct cells of each row with the row's first page, how often, and which is each window's."""
+            for k in range(depth):
+                h = mixed(h ^ np.uint64(k)) if k else h
+                yield k * pages, *np.unique(located(h, pages), return_inverse=True, return_counts=True)
 
         def count(c):
-            *_, h, digest = window_hashes(c.data, c.bounds, size)
-            cells, digest, _, many = distinct(h, digest)
-            cells, twice, _ = sketch(cells, many)
-            for page, a, b in by_page(cells):
-                yield page, pack((cells[a:b] & low).astype(np.uint32), twice[a:b])
+            *_, h = window_hashes(c.data, c.bounds, size)
+            for first_page, cells, _, often in rows(h):
+                for page, a, b in by_page(page_of(cells)):
+                    yield first_page + page, pack((cells[a:b] & LOW).astype(np.uint32), often[a:b] > 1)
 
-        def merge(_, blobs):
+        def add(_, blobs):
             held = [unpack(b, np.uint32, bool) for b in blobs]
             often = repeated(np.concatenate([x for cells, twice in held for x in (cells, cells[twice])]))
-            flags = [member(cells, often) for cells, _ in held]
-            return [planes(f) for f in flags]
+            return [planes(member(cells, often)) for cells, _ in held]
 
         def suspects(c, answers):
-            """The chunk's windows and its distinct ones that the sketch holds for repeated."""
-            *words, at, h, digest = window_hashes(c.data, c.bounds, size)
-            cells, digest, which, many = distinct(h, digest)
-            sketched, _, of = sketch(cells, many)
-            return words, at, cells, digest, which, many, bits(answers, sketched)[of] if len(of) else many
+            """The chunk's words, the windows that the sketch holds for repeated, and these by digest."""
+            *words, at, h = window_hashes(c.data, c.bounds, size)
+            likely = np.ones(len(at), dtype=bool)
+            for first_page, cells, which, _ in rows(h):
+                likely &= bits(answers, page_of(cells), 0, first_page)[which]
+            at = at[likely]
+            high, low = window_digests(c.data, words[0], words[1], at, size)
+            first, kind = kinds(high, low)
+            return words, at, high[first], low[first], kind
 
         def detail(c):
-            _, _, cells, digest, _, many, likely = suspects(c, c.answers)
-            cells, digest, many = cells[likely], digest[likely], many[likely]
-            for page, a, b in by_page(cells):
-                yield page, pack((cells[a:b] & low).astype(np.uint32), digest[a:b], many[a:b])
+            *_, high, low, kind = suspects(c, c.answers)
+            many = np.bincount(kind, minlength=len(high)) > 1
+            for page, a, b in by_page(ranged(high, pages)):
+                yield page, pack(high[a:b], low[a:b], many[a:b])
 
         def group(_, blobs):
-            held = [unpack(b, np.uint32, np.uint64, bool) for b in blobs]
-            sizes = [len(x[0]) for x in held]
-            cells, digest, many = (np.concatenate([x[k] for x in held]) for k in range(3))
-            order = np.lexsort((digest, cells))
-            same = (cells[order][1:] == cells[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-            often = many[order].copy()
-            often[1:] |= same
-            often[:-1] |= same
+            held = [unpack(b, np.uint64, np.uint64, bool) for b in blobs]
+            high, low, many = (np.concatenate([x[k] for x in held]) for k in range(3))
+            _, kind = kinds(high, low)
             # a window that repeats within one chunk repeats for all chunks that hold it
-            flags = np.empty(len(order), dtype=bool)
-            flags[order] = often
-            parts = np.split(flags, np.cumsum(sizes)[:-1])
-            return [planes(f) for f in parts]
-
-        first = saved(answer(ask(chunks.rows(), count), pages, merge).hint("rebalance"), "sketch")
-        second = saved(answer(ask(chunks.answered(first), detail), pages, group).hint("rebalance"), "windows")
+            often = np.bincount(kind, 1 + many) > 1
+            return [planes(f) for f in np.split(often[kind], np.cumsum([len(x[0]) for x in held])[:-1])]
 
         def finish(batches):
             # both passes' answers are needed: the first tells which windows the second was asked about
             for c in opened(batches):
                 passes = sorted_out(c.answers, 2)
-                (starts, ends, words), at, cells, _, which, _, likely = suspects(c, passes[0])
-                truly = np.zeros(len(cells), dtype=bool)
-                truly[likely] = bits(passes[1], cells[likely])
-                gone = covered(at[truly[which]] if len(at) else at, size, len(starts))
-                yield use(c, starts, ends, words, gone)
-
-        result = saved(chunks.answered(numbered([first, second])).mapInArrow(frugal(finish), schema), "substring-dedup")
-        chunks.drop()
+                (starts, ends, words), at, high, _, kind = suspects(c, passes[0])
+                truly = bits(passes[1], ranged(high, pages))
+                yield use(c, starts, ends, words, covered(at[truly[kind]], size, len(starts)))
+
+        try:
+            first = chunks.saved(replies(chunks.rows(), count, depth * pages, add).hint("rebalance"), "sketch")
+            second = chunks.saved(replies(chunks.answered(first), detail, pages, group).hint("rebalance"), "windows")
+            result = chunks.saved(chunks.answered(numbered([first, second])).mapInArrow(frugal(finish), schema), "substring-dedup")
+            dropped(first, second)
+        finally:
+            chunks.drop()
         return result
 
 

@@ -3,8 +3,8 @@
 Texts are cut into *contexts*: the stretch of window starts that share their least 50-byte gram, the
 anchor, together with the bytes their windows reach.  Equal windows have equal anchors at equal
 places, so a window's repeats lie in contexts of the same anchor.  Anchors are asked about first;
-contexts of an anchor that stands alone need nothing more.  Equal contexts are resolved by digest.
-What is left are the first occurrences of different contexts of one anchor, the edges of copied
+contexts of an anchor that stands alone need nothing more.  Equal contexts are resolved by 128-bit
+digests of their bytes.  What is left are the first occurrences of different contexts of one anchor, the edges of copied
 passages: their bytes meet page by page, and an enhanced suffix array over each page gives all
 maximal repeats with all their occurrences.
 """
@@ -21,9 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from millrace.llm.chunks import (
-    CELL_BITS, Chunk, ChunkTable, answer, ask, bits, by_page, located, numbered, opened, pack, planes, sorted_out, unpack, with_text,
+    CELL_BITS, Chunk, ChunkTable, bits, by_page, located, numbered, opened, pack, page_of, planes, replies, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import RangeHash, frugal, saved
+from millrace.llm.common import RangeHash, digests, dropped, frugal
+from millrace.llm.substring_dedup import kinds
 
 GRAMS = RangeHash(8)
 LOW = np.uint64((1 << CELL_BITS) - 1)
@@ -177,34 +178,43 @@ def later_windows(text: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 
 
 class View:
-    """A chunk's contexts with anchor and digest hashes."""
+    """A chunk's contexts with their anchors' hashes."""
 
     def __init__(self, c: Chunk, size: int):
         lo, span, offset = unpack(c.notes, np.uint32, np.uint8, np.uint8)
-        self.lo, self.size, self.prefix = lo.astype(np.int64), size, GRAMS.prefix(c.data)
+        self.lo, self.size, self.data = lo.astype(np.int64), size, c.data
         self.hi = self.lo + span
         anchor = self.lo + offset
+        self.prefix = GRAMS.prefix(c.data)
         self.key = GRAMS.between(self.prefix, anchor, anchor + size // 2)
-        self.digest = GRAMS.between(self.prefix, self.lo, self.hi + size) ^ (offset.astype(np.uint64) << np.uint64(8)) ^ span.astype(np.uint64)
         texts = np.searchsorted(c.bounds, self.lo, side="right") - 1
-        self.doc = np.asarray(c.ids.fill_null(LAST).to_numpy(zero_copy_only=False), dtype=np.int64)
-        self.doc_of, self.bounds = self.doc[texts] if len(texts) else texts, c.bounds
+        doc = np.asarray(c.ids.fill_null(LAST).to_numpy(zero_copy_only=False), dtype=np.int64)
+        self.doc_of = doc[texts] if len(texts) else texts
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, hashes and documents of all windows of the chosen contexts."""
+    def hashes(self, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return GRAMS.between(self.prefix, lo, end)
+
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and documents of all windows of the chosen contexts."""
         n = (self.hi - self.lo + 1)[which]
         at = np.repeat(self.lo[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else self.lo[:0]
-        return at, GRAMS.between(self.prefix, at, at + self.size), np.repeat(self.doc_of[which], n)
+        return at, np.repeat(self.doc_of[which], n)
+
+
+class Asked:
+    """What a chunk asks in pass 2: distinct strings by (cell, digest), where each is first, and every string's kind."""
 
+    def __init__(self, raw: bytes, cells: np.ndarray, doc: np.ndarray, lo: np.ndarray, end: np.ndarray):
+        high, low = digests(raw, lo, end)
+        # a chunk's strings stand in the order of documents and places, and equal ones keep it
+        self.first, self.kind = kinds(cells, high, low)
+        self.cells, self.high, self.low = cells[self.first], high[self.first], low[self.first]
+        self.doc, self.lo = doc[self.first], lo[self.first]
 
-def firsts(cells: np.ndarray, digest: np.ndarray):
-    """Order by (cell, digest, place); the first of each kind; the number of its kind, for each item."""
-    order = np.lexsort((digest, cells))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (cells[order][1:] != cells[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-    kind = np.empty(len(order), dtype=np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return order[new], kind
+    def questions(self, first_page: int):
+        for page, a, b in by_page(page_of(self.cells)):
+            columns = ((self.cells[a:b] & LOW).astype(np.uint32), self.high[a:b], self.low[a:b], self.doc[a:b], self.lo[a:b].astype(np.uint32))
+            yield first_page + page, pack(*columns)
 
 
 def stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,24 +247,21 @@ class SuffixDedup:
 
         chunks = ChunkTable(docs, note, carry, **names)
         pages = chunks.pages(chunks.total // (size // 4), self.page_items)
-        text_pages = chunks.pages(chunks.total, self.page_bytes)
-
-        def anchors(v: View):
-            """Sorted distinct anchor cells, and the distinct contexts: chunk-first, cell number, kind of each context."""
-            cells = located(v.key, pages)
-            first, kind = firsts(cells, v.digest)
-            starts, number = stretches(cells[first])
-            return cells[first][starts], first, number, kind, starts
+        text_pages = max(1, -(-chunks.total // self.page_bytes))
 
         def count(c):
             v = View(c, size)
-            cells, first, _, kind, starts = anchors(v)
-            if not len(cells):
+            # a weak hash of the contexts does here: it tells how many kinds there are, not which are equal
+            weak = v.hashes(v.lo, v.hi + size)
+            first, kind = kinds(located(v.key, pages), weak)
+            if not len(first):
                 return
-            often = np.bincount(kind, minlength=len(first))
+            cells = located(v.key[first], pages)
+            starts, _ = stretches(cells)
             different = np.minimum(np.diff(np.append(starts, len(first))), 65535).astype(np.uint16)
-            many = np.add.reduceat(often, starts) > 1
-            for page, a, b in by_page(cells):
+            many = np.add.reduceat(np.bincount(kind), starts) > 1
+            cells = cells[starts]
+            for page, a, b in by_page(page_of(cells)):
                 yield page, pack((cells[a:b] & LOW).astype(np.uint32), different[a:b], many[a:b])
 
         def weigh(_, blobs):
@@ -268,34 +275,30 @@ class SuffixDedup:
             at = np.cumsum([len(x[0]) for x in held])[:-1]
             return [planes(t, h & t) for t, h in zip(np.split(twice, at), np.split(heavy, at), strict=True)]
 
-        def items(v: View, answers):
-            """What pass 2 asks: the distinct contexts of repeated anchors, and the distinct windows of hot ones."""
-            cells, first, number, kind, _ = anchors(v)
-            twice, heavy = bits(answers, cells)[number], bits(answers, cells, 1)[number]
-            normal = twice & ~heavy
-            whole = (cells[number][normal], v.digest[first][normal], v.doc_of[first][normal], v.lo[first][normal])
-            at, h, doc = v.windows(np.flatnonzero(heavy[kind]) if len(kind) else kind)
-            window_cells = located(h, pages)
-            window_first, window_kind = firsts(window_cells, h)
-            single = (window_cells[window_first], h[window_first], doc[window_first], at[window_first])
-            return normal, first, kind, whole, single, at, window_first, window_kind
+        def asked(c, v: View, answers):
+            """What pass 2 is asked: the contexts of repeated anchors, chosen by number, and the windows of hot ones."""
+            cells, which = np.unique(located(v.key, pages), return_inverse=True)
+            twice, heavy = bits(answers, page_of(cells))[which], bits(answers, page_of(cells), 1)[which]
+            chosen, raw = np.flatnonzero(twice & ~heavy), c.data.tobytes()
+            whole = Asked(raw, located(v.key[chosen], pages), v.doc_of[chosen], v.lo[chosen], v.hi[chosen] + size)
+            at, doc = v.windows(np.flatnonzero(heavy))
+            single = Asked(raw, located(v.hashes(at, at + size), pages), doc, at, at + size)
+            return chosen, whole, at, single
 
         def detail(c):
-            _, _, _, whole, single, *_ = items(View(c, size), c.answers)
-            for first_page, (cells, digest, doc, at) in ((0, whole), (pages, single)):
-                for page, a, b in by_page(cells):
-                    columns = ((cells[a:b] & LOW).astype(np.uint32), digest[a:b], doc[a:b], at[a:b].astype(np.uint32))
-                    yield first_page + page, pack(*columns)
+            _, whole, _, single = asked(c, View(c, size), c.answers)
+            yield from whole.questions(0)
+            yield from single.questions(pages)
 
         def resolve(owners, blobs):
-            held = [unpack(b, np.uint32, np.uint64, np.int64, np.uint32) for b in blobs]
+            held = [unpack(b, np.uint32, np.uint64, np.uint64, np.int64, np.uint32) for b in blobs]
             sizes = [len(x[0]) for x in held]
-            cells, digest, doc, at = (np.concatenate([x[k] for x in held]) for k in range(4))
+            cells, high, low, doc, at = (np.concatenate([x[k] for x in held]) for k in range(5))
             owner = np.repeat(np.array(owners, dtype=np.int64), sizes)
-            order = np.lexsort((at, owner, doc, digest, cells))
-            c, d = cells[order], digest[order]
+            order = np.lexsort((at, owner, doc, low, high, cells))
+            c, h, g = cells[order], high[order], low[order]
             new = np.ones(len(c), dtype=bool)
-            new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+            new[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             starts, number = stretches(c)
             several = (np.add.reduceat(new.astype(np.int64), starts) > 1)[number]
             earliest, apart = np.empty(len(c), dtype=bool), np.empty(len(c), dtype=bool)
@@ -303,27 +306,25 @@ class SuffixDedup:
             cuts = np.cumsum(sizes)[:-1]
             return [planes(e, s) for e, s in zip(np.split(earliest, cuts), np.split(apart, cuts), strict=True)]
 
-        def open_contexts(v: View, passes):
-            """The contexts whose bytes must be compared, in text order, with their pages' starts."""
-            normal, first, kind, whole, *rest = items(v, passes[0])
-            own = np.flatnonzero(normal)
-            earliest, apart = bits(passes[1], whole[0]), bits(passes[1], whole[0], 1)
-            chosen = np.sort(first[own[apart]])
-            page = ((v.key[chosen] >> np.uint64(CELL_BITS)) % np.uint64(text_pages)).astype(np.int64)
+        def text_page(v: View, which: np.ndarray) -> np.ndarray:
+            return ((v.key[which] >> np.uint64(CELL_BITS)) % np.uint64(text_pages)).astype(np.int64)
+
+        def opened_contexts(v: View, chosen, whole: Asked, answers):
+            """The contexts whose bytes must be compared, by the page where they meet, in text order there."""
+            mine = np.sort(chosen[whole.first[bits(answers, page_of(whole.cells), 1)]])
+            page = text_page(v, mine)
             order = np.argsort(page, kind="stable")
-            starts, _ = stretches(page[order])
-            return chosen, page, order, starts, (normal, first, kind, own, earliest, rest)
+            for p, a, b in by_page(page[order]):
+                yield p, mine[order[a:b]]
 
         def show(c):
-            v = View(c, size)
-            chosen, page, order, starts, _ = open_contexts(v, sorted_out(c.answers, 2))
-            for a, b in pairwise([*starts.tolist(), len(order)]):
-                mine = chosen[order[a:b]]
+            v, passes = View(c, size), sorted_out(c.answers, 2)
+            chosen, whole, *_ = asked(c, v, passes[0])
+            for page, mine in opened_contexts(v, chosen, whole, passes[1]):
                 lo, hi = v.lo[mine], v.hi[mine] + size
-                text = b"".join(c.data[s:e].tobytes() for s, e in zip(lo.tolist(), hi.tolist(), strict=True))
+                text = b"".join([c.data[s:e].tobytes() for s, e in zip(lo.tolist(), hi.tolist(), strict=True)])
                 head = pack(lo.astype(np.uint32), (hi - lo).astype(np.uint32), v.doc_of[mine])
-                body = zstandard.ZstdCompressor(level=1).compress(text)
-                yield int(page[order[a]]), len(head).to_bytes(4, "little") + head + body
+                yield page, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(text)
 
         def compare(owners, blobs):
             heads, texts = [], []
@@ -346,10 +347,8 @@ class SuffixDedup:
 
         def finish(batches):
             for c in opened(batches):
-                v = View(c, size)
-                passes = sorted_out(c.answers, 3)
-                chosen, _, order, starts, state = open_contexts(v, passes)
-                normal, first, kind, own, earliest, (single, at, window_first, window_kind) = state
+                v, passes = View(c, size), sorted_out(c.answers, 3)
+                chosen, whole, at, single = asked(c, v, passes[0])
                 steps = np.zeros(len(c.data) + 1, dtype=np.int64)
 
                 def cover(lo, end, steps=steps):
@@ -358,17 +357,13 @@ class SuffixDedup:
 
                 # contexts of repeated anchors are gone, but for the earliest of each kind
                 kept = np.ones(len(v.lo), dtype=bool)
-                if len(kind):
-                    kept[normal[kind]] = False
-                    kept[first[own[earliest]]] = True
+                kept[chosen] = False
+                kept[chosen[whole.first[bits(passes[1], page_of(whole.cells))]]] = True
                 cover(v.lo[~kept], v.hi[~kept] + size)
-                if len(at):
-                    stays = np.zeros(len(at), dtype=bool)
-                    stays[window_first[bits(passes[1], single[0], 0, pages)]] = True
-                    cover(at[~stays], at[~stays] + size)
-                for a, b in pairwise([*starts.tolist(), len(order)]):
-                    mine = chosen[order[a:b]]
-                    page = int((v.key[mine[0]] >> np.uint64(CELL_BITS)) % np.uint64(text_pages))
+                stays = np.zeros(len(at), dtype=bool)
+                stays[single.first[bits(passes[1], page_of(single.cells), 0, pages)]] = True
+                cover(at[~stays], at[~stays] + size)
+                for page, mine in opened_contexts(v, chosen, whole, passes[1]):
                     if page in passes[2]:
                         length = v.hi[mine] + size - v.lo[mine]
                         place = np.repeat(v.lo[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -376,11 +371,14 @@ class SuffixDedup:
                         cover(place[flags], place[flags] + size)
                 yield use(c, np.cumsum(steps[:-1]) > 0)
 
-        first = saved(answer(ask(chunks.rows(), count), pages, weigh).hint("rebalance"), "anchors")
-        second = saved(answer(ask(chunks.answered(first), detail), 2 * pages, resolve).hint("rebalance"), "contexts")
-        third = saved(answer(ask(chunks.answered(numbered([first, second])), show), text_pages, compare).hint("rebalance"), "suffixes")
-        result = saved(chunks.answered(numbered([first, second, third])).mapInArrow(frugal(finish), schema), "suffix-dedup")
-        chunks.drop()
+        try:
+            first = chunks.saved(replies(chunks.rows(), count, pages, weigh).hint("rebalance"), "anchors")
+            second = chunks.saved(replies(chunks.answered(first), detail, 2 * pages, resolve).hint("rebalance"), "contexts")
+            third = chunks.saved(replies(chunks.answered(numbered([first, second])), show, text_pages, compare).hint("rebalance"), "suffixes")
+            result = chunks.saved(chunks.answered(numbered([first, second, third])).mapInArrow(frugal(finish), schema), "suffix-dedup")
+            dropped(first, second, third)
+        finally:
+            chunks.drop()
         return result
 
 

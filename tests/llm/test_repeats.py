@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import substring_dedup, suffix_dedup
-from millrace.llm.chunks import pack, unpack
-from millrace.llm.common import SEPARATOR, RangeHash, word_hashes, word_ranges
+from millrace.llm.chunks import ChunkTable, even_keys, pack, spark_hash, unpack
+from millrace.llm.common import SEPARATOR, RangeHash, digests, word_hashes, word_ranges
 from millrace.llm.suffix_dedup import contexts, later_windows, maximal_repeats, sliding_least
 
 from .conftest import words
@@ -181,3 +181,107 @@ def test_words_hash_alike_in_parts():
     for part in (1, 4, 50):
         some = word_hashes(RangeHash(5), data, bounds, SEPARATOR, (1 << 40, 3), part)
         assert all((a == b).all() for a, b in zip([*whole[:2], *whole[2]], [*some[:2], *some[2]], strict=True))
+
+
+def thue_morse(n, a="a", b="b"):
+    """The sequence and its complement; polynomial hashes modulo 2**64 can't tell long ones apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_regular_strings_do_collide_in_range_hashes():
+    one, other = ("".join(x).encode() for x in thue_morse(2048))
+    h = RangeHash(1)
+    assert h.windows(h.prefix(np.frombuffer(one, np.uint8)), 2048) == h.windows(h.prefix(np.frombuffer(other, np.uint8)), 2048)
+
+
+@pytest.mark.parametrize("n", [64, 128, 256, 512, 1024, 2048, 4096])
+def test_windows_that_differ_in_one_regular_word_are_different(spark, n):
+    shared = [f"w{k}" for k in range(34)]
+    texts = [" ".join([*shared, "".join(x)]) for x in thue_morse(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 2):
+        got = substring_dedup.removed_digests(df.repartition(parts)).collect()
+        assert [r["n_removed"] for r in got] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_windows_of_regular_words_are_different(spark, n, multiset):
+    texts = [" ".join(x) for x in thue_morse(n)]
+    texts += [texts[0] + " more", "x " + texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.removed_digests(df, n).select("doc_id", "n_removed").collect()
+    assert multiset(got) == multiset((k, sum(gone)) for k, (_, gone) in enumerate(brute_words(texts, n)))
+
+
+@pytest.mark.parametrize(("size", "hot"), [(256, 1 << 14), (256, 0), (100, 0)])
+def test_regular_bytes_are_compared(spark, multiset, size, hot):
+    one, other = ("".join(x) for x in thue_morse(4096))
+    rnd = random.Random(9)
+    shared = "".join(rnd.choices("abcdefgh", k=150))
+    texts = [shared + one, shared + other, one[:200] + shared + other[:300], other[64:1088], one[128:1152]]
+    want = [(k, int(gone.sum())) for k, (_, gone) in enumerate(brute_bytes(texts, size))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    got = suffix_dedup.SuffixDedup(size, hot=hot).run(df, suffix_dedup.digest_rows, schema).select("doc_id", "n_removed").collect()
+    assert multiset(got) == multiset(want)
+
+
+def test_digests_are_sha256():
+    data = b"abcdefgh" * 20
+    high, low = digests(data, np.array([0, 3, 160]), np.array([5, 3, 160]))
+    for k, (a, b) in enumerate(((0, 5), (3, 3), (160, 160))):
+        assert np.array([high[k], low[k]]).tobytes() == hashlib.sha256(data[a:b]).digest()[:16]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_sketches_of_any_depth_lose_nothing(docs, corpus, multiset, depth):
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    got = substring_dedup.SubstringDedup(35, page_items=500, depth=depth).run(docs, substring_dedup.digest_rows, schema, chunk_bytes=3000)
+    want = [(i, sum(gone)) for (i, _, _), (_, gone) in zip(corpus, brute_words([t for _, t, _ in corpus], 35), strict=True)]
+    assert multiset(got.select("doc_id", "n_removed").collect()) == multiset(want)
+
+
+def test_even_keys(spark):
+    from pyspark.sql import functions as F
+
+    numbers = list(range(-3, 500))
+    assert [r[0] for r in spark.createDataFrame([(k,) for k in numbers], "k int").select(F.hash("k")).collect()] == spark_hash(np.array(numbers)).tolist()
+    for n in (1, 2, 7, 100):
+        assert (spark_hash(even_keys(n)).astype(np.int64) % n).tolist() == list(range(n))
+
+
+def test_chunk_buckets_are_even(spark):
+    texts = [(k, "ab " * 300) for k in range(640)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    chunks = ChunkTable(df, chunk_bytes=2000, bucket_bytes=20_000)
+    try:
+        sizes = [r["n"] for r in chunks.rows().groupBy("part").agg({"body": "count"}).withColumnRenamed("count(body)", "n").collect()]
+        assert chunks.buckets == 32 and len(sizes) == 32 and max(sizes) <= 1.5 * min(sizes)
+        assert chunks.rows().select("chunk").distinct().count() == chunks.rows().count()
+    finally:
+        chunks.drop()
+
+
+def test_ids_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="integer"):
+        substring_dedup.removed_digests(df)
+
+
+def test_null_and_repeated_ids_against_brute_force(spark, multiset):
+    """Rows of one id, and rows without an id, repeat each other; which of them stays isn't fixed, how much does."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choices("abcdefgh ", k=400))
+    rows = [(1, passage), (1, passage), (1, passage[:300]), (None, passage + "tail"), (None, "head" + passage), (2, None), (2, ""), (0, passage[100:350])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.removed_digests(df).collect()
+    assert len(got) == len(rows)
+    # smaller ids first: 0 keeps all its 250 bytes, the rows of 1 together all but what stands in 0, null ids come last
+    left = Counter()
+    for r in got:
+        left[r["doc_id"]] += r["n_bytes"] - r["n_removed"]
+    assert left[0] == 250 and left[2] == 0
+    best = {sum(len(d) - int(g.sum()) for d, g in list(brute_bytes([passage[100:350], *order], 100))[1:]) for order in ((passage, passage, passage[:300]), (passage[:300], passage, passage))}
+    assert left[1] in best
+    assert 0 < left[None] <= 8
