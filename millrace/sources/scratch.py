@@ -42,7 +42,7 @@ def held() -> frozenset[str]:
 
 
 @contextmanager
-def workspace(spark: SparkSession | None = None) -> Iterator[None]:
+def workspace() -> Iterator[None]:
     """What queries leave behind while this is open goes when it closes."""
     before = held()
     try:
