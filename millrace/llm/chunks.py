@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batched, frugal, give_back, laid_out, quoted, saved, scratch
+from millrace.llm.common import batched, frugal, give_back, laid_out, narrow_reads, quoted, saved, scratch
 from millrace.sources.scratch import delete, hold, settings, undo
 
 CELL_BITS = 28
@@ -72,13 +72,15 @@ class ChunkTable:
     """
 
     def __init__(
-        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int | None = None, bucket_bytes: int = 16 << 20,
+        self, docs: DataFrame, note: Callable | None = None, carry: bool = False, chunk_bytes: int | None = None, bucket_bytes: int = 32 << 20,
         id_column: str = "doc_id", text_column: str = "text",
     ):
         self.spark = docs.sparkSession
         if docs.schema[id_column].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
             raise ValueError(f"{id_column!r} must be an integer column")
-        sizes = docs.select(F.octet_length(F.col(quoted(text_column))).alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task")).first()
+        sizes = docs.select(F.octet_length(F.col(quoted(text_column))).alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task"))
+        with narrow_reads(self.spark):
+            sizes = sizes.first()
         self.total, tasks = int(sizes[0] or 0), int(sizes[1] or 0) + 1
         chunk_bytes = chunk_bytes or int(np.clip(self.total >> 15, 1 << 19, 32 << 20))
         each = max(1, -(-self.total // (tasks * bucket_bytes)))  # buckets for every task
@@ -113,8 +115,11 @@ class ChunkTable:
         frame = batched(docs).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text_column)).alias("text"), *rest)
         writer = frame.mapInArrow(frugal(gather), CHUNK).write.bucketBy(self.buckets, "part").option("path", self.path)
         hold(self.name, self._gone)
-        # bodies are compressed already, and large values should not pass a codec's buffers again
-        writer.format("parquet").option("compression", "uncompressed").saveAsTable(self.name)
+        # bodies are compressed already, and large values should not pass a codec's buffers again; a row
+        # group is what a task holds at once, writing and reading
+        options = {"compression": "uncompressed", "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
+        with narrow_reads(self.spark):
+            writer.format("parquet").options(**options).saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)

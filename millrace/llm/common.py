@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.scratch import scratch, undo
+from millrace.sources.scratch import scratch, settings, undo
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -29,6 +29,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def narrow_reads(spark: SparkSession):
+    """For plans that run inside: Parquet readers hold hundreds of texts at a time, not thousands."""
+    return settings(spark, spark_sql_parquet_columnarReaderBatchSize="512")
+
+
 BATCH_BYTES = 4 << 20
 
 

@@ -92,7 +92,11 @@ class SubstringDedup:
         self.size, self.page_items, self.depth = size, page_items, depth
 
     def run(self, docs: DataFrame, use, schema, carry: bool = False, **names) -> DataFrame:
-        """``use(chunk, starts, ends, first, gone)`` makes a batch for each chunk; the result is a written table."""
+        """``use(chunk, starts, ends, first, gone)`` makes a batch for each chunk; the result is a written table.
+
+        With ``carry`` rows hold texts and are written where they are made; others are few bytes each,
+        and are dealt out anew so that files are few.
+        """
         chunks, size, depth = ChunkTable(docs, carry=carry, **names), self.size, self.depth
         pages = chunks.pages(chunks.total // 6, self.page_items)
 
@@ -149,7 +153,8 @@ class SubstringDedup:
         try:
             first = chunks.saved(replies(chunks.rows(), count, depth * pages, add).hint("rebalance"), "sketch")
             second = chunks.saved(replies(chunks.answered(first), detail, pages, group).hint("rebalance"), "windows")
-            result = chunks.saved(chunks.answered(numbered([first, second])).mapInArrow(frugal(finish), schema), "substring-dedup")
+            result = chunks.answered(numbered([first, second])).mapInArrow(frugal(finish), schema)
+            result = chunks.saved(result if carry else result.hint("rebalance"), "substring-dedup")
             dropped(first, second)
         finally:
             chunks.drop()

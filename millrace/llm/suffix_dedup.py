@@ -238,7 +238,11 @@ class SuffixDedup:
         self.size, self.page_items, self.page_bytes, self.hot = size, page_items, page_bytes, hot
 
     def run(self, docs: DataFrame, use, schema, carry: bool = False, **names) -> DataFrame:
-        """``use(chunk, gone)`` makes a batch for each chunk; the result is a written table."""
+        """``use(chunk, gone)`` makes a batch for each chunk; the result is a written table.
+
+        With ``carry`` rows hold texts and are written where they are made; others are few bytes each,
+        and are dealt out anew so that files are few.
+        """
         size, hot = self.size, self.hot
 
         def note(data, bounds):
@@ -375,7 +379,8 @@ class SuffixDedup:
             first = chunks.saved(replies(chunks.rows(), count, pages, weigh).hint("rebalance"), "anchors")
             second = chunks.saved(replies(chunks.answered(first), detail, 2 * pages, resolve).hint("rebalance"), "contexts")
             third = chunks.saved(replies(chunks.answered(numbered([first, second])), show, text_pages, compare).hint("rebalance"), "suffixes")
-            result = chunks.saved(chunks.answered(numbered([first, second, third])).mapInArrow(frugal(finish), schema), "suffix-dedup")
+            result = chunks.answered(numbered([first, second, third])).mapInArrow(frugal(finish), schema)
+            result = chunks.saved(result if carry else result.hint("rebalance"), "suffix-dedup")
             dropped(first, second, third)
         finally:
             chunks.drop()
