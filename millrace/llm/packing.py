@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenizer
-from millrace.llm.common import batched, frugal, saved
+from millrace.llm.common import batched, frugal, narrow_reads, saved
 
 PIECES = "id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -60,125 +60,187 @@ class Run:
         self.first, self.count, self.lengths, self.room = first, count, lengths, room
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int):
-    """Yield (counts by size, times) that meet the demand, each the fullest for the largest size left."""
-    demand = list(demand)
-    while any(demand):
-        top = next(g for g, n in enumerate(demand) if n)
-        # via[s]: the group whose size was added last to reach the sum s with the least number of items
-        room = capacity - sizes[top]
-        via = np.full(room + 1, -1, dtype=np.int64)
-        reached = np.zeros(room + 1, dtype=bool)
-        reached[0] = True
-        for g in range(top, len(sizes)):
-            size = sizes[g]
-            most = min(demand[g] - (g == top), room // size)
-            front = reached.copy()
-            for _ in range(most):
-                moved = np.zeros_like(front)
-                moved[size:] = front[: room + 1 - size]
-                front = moved & ~reached
-                if not front.any():
-                    break
-                via[front] = g
-                reached |= front
-        s = int(np.flatnonzero(reached)[-1])
-        used = Counter([top])
-        while s:
-            used[int(via[s])] += 1
-            s -= sizes[int(via[s])]
-        times = min(demand[g] // k for g, k in used.items())
-        for g, k in used.items():
-            demand[g] -= k * times
-        yield used, times
-
-
-def plan_packing(histogram: dict[int, int], capacity: int, groups: int = 96, small: float = 1 / 8) -> list[Run]:
-    """Runs of equal sequences for a histogram of lengths.
+def grouped(histogram: dict[int, int], large: list[int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linear grouping: sizes, each the largest length of one of ``groups`` equal shares of the items, and their demands."""
+    counts = np.array([histogram[n] for n in large], dtype=np.int64)
+    width = max(1, -(-int(counts.sum()) // groups))
+    before = np.cumsum(counts) - counts
+    demand: dict[int, int] = {}
+    for g in range(-(-int(counts.sum()) // width)):
+        # the share's first item, in descending order, is its largest
+        size = large[int(np.searchsorted(before, g * width, side="right")) - 1]
+        demand[size] = demand.get(size, 0) + min(width, int(counts.sum()) - g * width)
+    return np.array(list(demand), dtype=np.int64), np.array(list(demand.values()), dtype=np.int64)
 
-    Linear grouping: the lengths over ``small * capacity``, in descending order, are dealt into
-    ``groups`` of equal cardinality and rounded up to their group's largest; configurations of the
-    few sizes left are chosen; then each place takes actual lengths of its group, and the small ones
-    go by best fit, longest first, into the room that these leave.  All of it works on counts by
-    length, so its cost is bounded by the capacity, not by the number of documents.
+
+def fullest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size stands in the configuration of the greatest worth, by dynamic programming over the room."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for g in np.flatnonzero(worth > 0).tolist():
+        size = int(sizes[g])
+        for _ in range(capacity // size):
+            offer = best[:-size] + worth[g]
+            better = offer > best[size:] + 1e-12
+            if not better.any():
+                break
+            best[size:][better], last[size:][better] = offer[better], g
+    used, room = np.zeros(len(sizes), dtype=np.int64), int(best.argmax())
+    while room > 0 and last[room] >= 0:
+        used[last[room]] += 1
+        room -= int(sizes[last[room]])
+    return used
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 40) -> list[tuple[np.ndarray, int]]:
+    """Configurations (how often each size) with the whole number of times that an optimal mixture has each.
+
+    The linear program "fewest sequences that meet the demand" is solved by column generation: the
+    basis has as many configurations as sizes, and the configuration worth most at the basis's
+    prices enters until none is worth more than a sequence, or after ``rounds`` times as many steps
+    as sizes.  What the fractions leave of the demand is not in the result.
     """
-    large = sorted((n for n in histogram if n > capacity * small), reverse=True)
-    total = sum(histogram[n] for n in large)
-    width = max(1, -(-total // groups))
-    runs: list[Run] = []
-    sizes, demand, stock = [], [], []
-    for n in large:
-        left = histogram[n]
-        while left:
-            if not sizes or demand[-1] == width:
-                sizes.append(n)
-                demand.append(0)
-                stock.append([])
-            k = min(left, width - demand[-1])
-            stock[-1].append([n, k])
-            demand[-1] += k
-            left -= k
-    by_size: dict[int, list] = {}
-    for size, n, held in zip(sizes, demand, stock, strict=True):
-        kept = by_size.setdefault(size, [0, []])
-        kept[0] += n
-        kept[1] += held
-    sizes = list(by_size)
-    stock = [by_size[s][1][::-1] for s in sizes]
-    first = 0
-    for used, times in configurations(sizes, [by_size[s][0] for s in sizes], capacity):
-        places = [g for g, k in used.items() for _ in range(k)]
-        while times:
-            taken, held = [], Counter(places)
-            step = min(times, *(stock[g][-1][1] // k or 1 for g, k in held.items()))
-            for g in places:
-                n, left = stock[g][-1]
-                taken.append(n)
-                if left == step:
-                    stock[g].pop()
-                else:
-                    stock[g][-1][1] -= step
-            runs.append(Run(first, step, taken, capacity - sum(taken)))
-            first += step
-            times -= step
-    rooms: dict[int, list[Run]] = defaultdict(list)
+    n = len(sizes)
+    if not n:
+        return []
+    each = capacity // sizes
+    basis = [np.where(np.arange(n) == g, each, 0) for g in range(n)]
+    cost, inverse, times = np.ones(n), np.diag(1 / each), demand / each
+    for _ in range(rounds * n):
+        price = cost @ inverse
+        if price.min() < -1e-9:
+            # more of this size than asked for is no harm, so its surplus is a column without cost
+            enters, its_cost = -np.eye(n, dtype=np.int64)[price.argmin()], 0.0
+        else:
+            enters, its_cost = fullest(sizes, price, capacity), 1.0
+            if price @ enters <= 1 + 1e-7:
+                break
+        step = inverse @ enters
+        held = np.flatnonzero(step > 1e-9)
+        if not len(held):
+            break
+        leaves = held[np.argmin(times[held] / step[held])]
+        amount = times[leaves] / step[leaves]
+        times = np.maximum(times - amount * step, 0)
+        times[leaves] = amount
+        row = inverse[leaves] / step[leaves]
+        inverse = inverse - np.outer(step, row)
+        inverse[leaves] = row
+        basis[leaves], cost[leaves] = enters, its_cost
+    return [(used, int(t + 1e-6)) for used, t, c in zip(basis, times, cost, strict=True) if c and t >= 1 - 1e-6]
+
+
+class Stock:
+    """How many items of each length are left."""
+
+    def __init__(self, histogram: dict[int, int], lengths: list[int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for n in lengths:
+            self.left[n] = histogram[n]
+
+    def largest(self, most: int) -> int:
+        """The largest length left up to ``most``, or 0."""
+        found = np.flatnonzero(self.left[: most + 1])
+        return int(found[-1]) if len(found) else 0
+
+
+def substituted(stock: Stock, places: list[int], times: int, capacity: int, spare: int) -> Iterator[tuple[list[int], int]]:
+    """Yield (lengths, count) of sequences that follow one configuration, up to ``times`` of them.
+
+    Every place takes the largest actual length up to its size, but the last and any after it take
+    the largest that still fits, so that what rounding left free is used.  Where more than ``spare``
+    would still be free, the lengths are left to best fit.
+    """
+    while times:
+        taken, room = [], capacity
+        for size in [*places[:-1], *([capacity] * (capacity // places[-1] + 1))]:
+            n = stock.largest(min(size, room))
+            if not n:
+                break
+            stock.left[n] -= 1
+            taken.append(n)
+            room -= n
+        if not taken:
+            return
+        uses = Counter(taken)
+        for n, k in uses.items():
+            stock.left[n] += k
+        if room > spare:
+            return
+        count = min(times, *(int(stock.left[n]) // k for n, k in uses.items()))
+        for n, k in uses.items():
+            stock.left[n] -= k * count
+        yield taken, count
+        times -= count
+
+
+def best_fit(runs: list[Run], stock: Stock, capacity: int) -> list[Run]:
+    """Deal out what is left, longest first, each to the least room that holds it, opening sequences as needed."""
+    first = sum(run.count for run in runs)
+    rooms: list[list[Run]] = [[] for _ in range(capacity + 1)]
     for run in runs:
         rooms[run.room].append(run)
-    done, order = [], [r for r in rooms if r]
-    heap = sorted(order)
-    pending = sorted((n for n in histogram if 0 < n <= capacity * small), reverse=True)
-    volume = sum(n * histogram[n] for n in pending)
-    for n in pending:
-        left = histogram[n]
+    some = np.array([bool(r) for r in rooms])
+    for n in np.flatnonzero(stock.left)[::-1].tolist():
+        left = int(stock.left[n])
         while left:
-            aside = []
-            while heap and (heap[0] < n or not rooms[heap[0]]):
-                r = heapq.heappop(heap)
-                if rooms[r]:
-                    aside.append(r)
-            if not heap:
-                fresh = -(-volume // capacity)
-                rooms[capacity].append(Run(first, fresh, [], capacity))
-                first += fresh
-                heap = [capacity]
-            for r in aside:  # too little room for this length, but not for shorter ones
-                done.append(r)
-            r = heap[0]
-            run = rooms[r].pop()
-            k = min(left, run.count)
-            if k < run.count:
-                rooms[r].append(Run(run.first + k, run.count - k, list(run.lengths), run.room))
-            run.count, run.room = k, r - n
-            run.lengths.append(n)
-            if r - n not in rooms or not rooms[r - n]:
-                heapq.heappush(heap, r - n)
-            rooms[r - n].append(run)
-            left -= k
-            volume -= n * k
-        for r in done:
-            heapq.heappush(heap, r)
-        done = []
-    return [run for held in rooms.values() for run in held if run.lengths]
+            fits = np.flatnonzero(some[n:])
+            if not len(fits):
+                # none holds it: as many of them as a sequence can take, and the rest in one
+                for lengths, count in (([n] * (capacity // n), left // (capacity // n)), ([n] * (left % (capacity // n)), 1)):
+                    if lengths and count:
+                        run = Run(first, count, lengths, capacity - n * len(lengths))
+                        rooms[run.room].append(run)
+                        some[run.room] = True
+                        first += count
+                break
+            room = n + int(fits[0])
+            run = rooms[room].pop()
+            some[room] = bool(rooms[room])
+            count = min(left, run.count)
+            if count < run.count:
+                rooms[room].append(Run(run.first + count, run.count - count, list(run.lengths), room))
+                some[room] = True
+            rooms[room - n].append(Run(run.first, count, [*run.lengths, n], room - n))
+            some[room - n] = True
+            left -= count
+    return [run for held in rooms for run in held]
+
+
+def plan_packing(
+    histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (32, 64, 128), small: float = 1 / 8, spares: tuple[int, ...] = (0, 2, 4, 8, 16)
+) -> list[Run]:
+    """Runs of equal sequences for a histogram of lengths.
+
+    Linear grouping: the lengths over ``small * capacity``, in descending order, are dealt into
+    groups of equal cardinality and rounded up to their group's largest; an optimal mixture of
+    configurations of the few sizes left is found; its places take actual lengths; what is left,
+    the small ones above all, goes by best fit, longest first, into the room that these leave.
+
+    Numbers of groups and limits of the spare room of a configuration's sequence are tried in turn
+    until the sequences are as few as the total volume needs; else the best try counts.  All of it
+    works on counts by length, so its cost is bounded by the capacity, not by the number of documents.
+    """
+    lengths = sorted((n for n, k in histogram.items() if k), reverse=True)
+    least = -(-sum(n * histogram[n] for n in lengths) // capacity)
+    large = [n for n in lengths if n > capacity * small]
+    used = lambda runs: sum(run.count for run in runs)
+    best: list[Run] = []
+    for number in groups:
+        sizes, demand = grouped(histogram, large, number)
+        # configurations of the largest sizes first, while there is the most to choose from
+        mixture = sorted(configurations(sizes, demand, capacity), key=lambda m: tuple(-m[0]))
+        for spare in spares:
+            stock, runs, first = Stock(histogram, lengths, capacity), [], 0
+            for counts, times in mixture:
+                for taken, count in substituted(stock, np.repeat(sizes, counts).tolist(), times, capacity, spare):
+                    runs.append(Run(first, count, taken, capacity - sum(taken)))
+                    first += count
+            runs = best_fit(runs, stock, capacity)
+            if not best or used(runs) < used(best):
+                best = runs
+            if used(best) <= least:
+                return best
+    return best
 
 
 def placements(runs: list[Run]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -208,7 +270,9 @@ def pack(
     common, is numbered by one task.
     """
     path = path or tokenizer.default_path()
-    pieces = saved(cut_pieces(docs, capacity, path, closing, id_column, text_column), "pieces")
+    with narrow_reads(docs.sparkSession):
+        # rows of few bytes, dealt out anew so that files are few
+        pieces = saved(cut_pieces(docs, capacity, path, closing, id_column, text_column).hint("rebalance"), "pieces")
     counts = saved(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(placements(plan_packing(histogram, capacity)))

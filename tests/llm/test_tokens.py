@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import bisect
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,23 +115,64 @@ def test_packing_keeps_repeated_and_null_rows(docs, no_docs, corpus):
     assert packing.pack(no_docs).collect() == []
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, n)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+def check_plan(runs, histogram, capacity):
+    """The number of sequences, after every length is found in one place and no sequence is too long."""
+    held, end = Counter(), 0
+    for run in sorted(runs, key=lambda r: r.first):
+        assert run.count > 0 and 0 < sum(run.lengths) == capacity - run.room <= capacity and run.first == end
+        end += run.count
+        for n in run.lengths:
+            held[n] += run.count
+    assert held == Counter({n: k for n, k in histogram.items() if k})
+    return end
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=300), st.sampled_from([1, 4, 96]))
+@given(st.lists(st.integers(1, 64), max_size=300), st.sampled_from([(1,), (4, 16), (32, 64, 128)]))
 def test_plans(lengths, groups):
     histogram = Counter(lengths)
-    runs = packing.plan_packing(dict(histogram), 64, groups)
-    held, numbers = Counter(), set()
-    for run in runs:
-        assert run.count > 0 and 0 < sum(run.lengths) == 64 - run.room <= 64
-        for n in run.lengths:
-            held[n] += run.count
-        mine = set(range(run.first, run.first + run.count))
-        assert not mine & numbers
-        numbers |= mine
-    assert held == histogram
-    first_fit: list[int] = []
-    for n in sorted(lengths, reverse=True):
-        at = next((k for k, used in enumerate(first_fit) if used + n <= 64), None)
-        first_fit.append(n) if at is None else first_fit.__setitem__(at, first_fit[at] + n)
-    if groups == 96:
-        assert len(numbers) <= 1.2 * len(first_fit) + 2
+    used = check_plan(packing.plan_packing(dict(histogram), 64, groups), histogram, 64)
+    fit = best_fit_decreasing(lengths, 64)
+    assert used <= 1.2 * fit + 2
+    if groups == (32, 64, 128):
+        assert used <= fit + 1
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 96), ("sf0.01", 481), ("sf0.1", 4936)])
+def test_no_more_sequences_than_the_volume_needs(sf, least):
+    enc, histogram = tokenizer.encoder(PATH), Counter()
+    for (text,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall():
+        n = len(enc.ids(text or "")) + 1
+        histogram[(n - 1) % 2048 + 1] += 1
+        histogram[2048] += (n - 1) // 2048
+    assert -(-sum(n * k for n, k in histogram.items()) // 2048) == least
+    assert check_plan(packing.plan_packing(dict(histogram), 2048), histogram, 2048) == least
+    # a corpus of a million times as many texts takes the same plan, by counts
+    many = {n: k * 10**6 for n, k in histogram.items()}
+    assert check_plan(packing.plan_packing(many, 2048), many, 2048) <= 1.002 * 10**6 * sum(n * k for n, k in histogram.items()) / 2048
+
+
+def test_configurations_reach_the_optimum():
+    """Sizes that only fit together in one way: 3 with 7, 4 with 6 and 5 with 5 fill all sequences."""
+    import numpy as np
+
+    sizes, demand = np.array([7, 6, 5, 4, 3]), np.array([10, 20, 30, 20, 10])
+    mixture = packing.configurations(sizes, demand, 10)
+    assert sum(times for _, times in mixture) == 45
+    assert (sum(np.array(used) * times for used, times in mixture) >= demand).all()
+    assert all((used * sizes).sum() <= 10 for used, _ in mixture)
+
+
+def test_grouping_rounds_up_to_equal_shares():
+    histogram = {100: 3, 90: 3, 80: 6, 50: 1}
+    sizes, demand = packing.grouped(histogram, [100, 90, 80, 50], 4)
+    assert sizes.tolist() == [100, 90, 80, 50] and demand.tolist() == [4, 4, 4, 1]
