@@ -16,7 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import dropped, narrow_reads, saved
 
 #: Statistics that rules may use, as SQL over the measured columns.
 FEATURES = {
@@ -178,35 +178,55 @@ def learn(
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.min("quality").cast("int").alias("quality"))
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5
     features = [F.expr(sql).alias(name) for name, sql in FEATURES.items()]
-    rows = stats.join(known, "id").select("quality", (fold == 1).alias("prunes"), *features, fold.alias("fold")).where("fold <> 0")
-    rows = saved(rows, "labelled")
-    if rows.select("quality").distinct().count() < 2:
-        return DecisionList(())
-    matches = lambda cs: reduce(and_, (F.col(c.feature) > c.threshold if c.above else F.col(c.feature) <= c.threshold for c in cs), F.lit(True))
-    left, rules = rows, []
+    rows = stats.join(known, "id").where(fold != 0).select("quality", (fold == 1).alias("prunes"), *features)
+    rows = saved(rows.hint("rebalance"), "labelled")
+    try:
+        return DecisionList(tuple(covering(rows, max_rules, max_conditions, precision)))
+    finally:
+        dropped(rows)
+
+
+def matching(conditions: list[Condition]) -> Column:
+    held = (F.col(c.feature) > c.threshold if c.above else F.col(c.feature) <= c.threshold for c in conditions)
+    return reduce(and_, held, F.lit(True))
+
+
+def grown(rows: DataFrame, max_conditions: int) -> list[Condition]:
+    """Conditions, each the best on the rows that those before it match, until none gains."""
+    conditions: list[Condition] = []
+    while len(conditions) < max_conditions:
+        best = next_condition(rows.where(matching(conditions)))
+        if best is None:
+            break
+        conditions.append(best)
+    return conditions
+
+
+def pruned(rows: DataFrame, conditions: list[Condition]) -> tuple[list[Condition], int, int]:
+    """The beginning of the rule that tells bad rows best from good ones, and how many of each it matches."""
+    bad = F.col("quality") == 0
+    held = [F.count(F.when(matching(conditions[:k]) & kind, 1)) for k in range(1, len(conditions) + 1) for kind in (bad, ~bad)]
+    counts = list(rows.agg(*[c.alias(f"c{k}") for k, c in enumerate(held)]).first())
+    pairs = list(zip(counts[::2], counts[1::2], strict=True))
+    worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in pairs]
+    k = max(range(len(worth)), key=lambda k: (worth[k], -k))
+    return conditions[: k + 1], *pairs[k]
+
+
+def covering(rows: DataFrame, max_rules: int, max_conditions: int, precision: float) -> list[tuple[Condition, ...]]:
+    """Rules from rows (quality, prunes, features), each grown and pruned on what those before it leave."""
+    rules: list[tuple[Condition, ...]] = []
+    left = rows
     while len(rules) < max_rules:
-        grow, prune = left.where(~F.col("prunes")), left.where("prunes")
-        conditions: list[Condition] = []
-        while len(conditions) < max_conditions:
-            best = next_condition(grow.where(matches(conditions)))
-            if best is None:
-                break
-            conditions.append(best)
+        conditions = grown(left.where(~F.col("prunes")), max_conditions)
         if not conditions:
             break
-        # bad and good rows that prune, for every beginning of the rule
-        ends = range(1, len(conditions) + 1)
-        held = [F.count(F.when(matches(conditions[:k]) & ((F.col("quality") == 0) == bad), 1)) for k in ends for bad in (F.lit(True), F.lit(False))]
-        counts = list(prune.agg(*[c.alias(f"c{k}") for k, c in enumerate(held)]).first())
-        worth = lambda k: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*counts[2 * k - 2 : 2 * k])
-        while len(conditions) > 1 and worth(len(conditions) - 1) >= worth(len(conditions)):
-            conditions.pop()
-        p, n = counts[2 * len(conditions) - 2 : 2 * len(conditions)]
+        conditions, p, n = pruned(left.where("prunes"), conditions)
         if p + 1 < precision * (p + n + 2):
             break
         rules.append(tuple(conditions))
-        left = left.where(~matches(conditions))
-    return DecisionList(tuple(rules))
+        left = left.where(~matching(conditions))
+    return rules
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,8 +235,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     The list is learned from labelled rows that pass the base rule.  Null, empty and wordless texts
     have no words and fail the base rule.  Null ids stay null, equal
     rows stay apart, an empty table gives no rows; other columns are ignored.
+
+    Texts are read once: their statistics, some numbers a row, are dealt out anew and written in few
+    files, from which the rules are learned and to which they are applied.
     """
-    stats = saved(measured(docs, id_column, text_column), "statistics")
+    with narrow_reads(docs.sparkSession):
+        stats = saved(measured(docs, id_column, text_column).hint("rebalance"), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rule = learn(stats.where(~failed), labels, id_column=id_column).number()
     return stats.select(
