@@ -25,11 +25,6 @@ def counted(value: Column | None = None) -> Column:
     return F.count(F.lit(1)) if value is None else F.count(value)
 
 
-def exact_total(value: Column, digits: int, precision: int = 18) -> Column:
-    """SUM over decimals of ``digits`` places, given as double: the same in any order of rows."""
-    return F.sum(value.cast(f"decimal({precision},{digits})")).cast("double")
-
-
 def grouped(df: DataFrame, keys: Sequence[str | Column], **aggregates: Column) -> DataFrame:
     """Any number of keys, none for a global aggregate.  Partial sums are made before the shuffle."""
     named = [value.alias(name) for name, value in aggregates.items()]

@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans.inspect import estimated_bytes
+
+#: A bucket is one task of a join that rests on the stored order.
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_for(*tables: DataFrame) -> int:
+    """A power of two for the largest of the tables, by Catalyst's estimate, up to Spark's own limit.
+
+    Of two tables with different powers of two, a join moves only the one with fewer buckets.
+    """
+    size = max(estimated_bytes(t) for t in tables)
+    return 1 << min(16, max(0, (size - 1) // BUCKET_BYTES).bit_length())
+
 
 def store_sorted(df: DataFrame, table: str, column: str, buckets: int, path: str | None = None) -> None:
     """Write ``df`` in ``buckets`` by ``column``, sorted within each, as a table of the session catalog.
@@ -17,3 +31,8 @@ def store_sorted(df: DataFrame, table: str, column: str, buckets: int, path: str
 
 def stored(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
+
+
+def drop_stored(spark: SparkSession, table: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

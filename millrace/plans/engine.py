@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans.statements import bare, split
 from millrace.sources import ddl
 from millrace.sources.catalog import Catalog
 
@@ -29,8 +30,11 @@ class Engine:
         self.catalog = Catalog(spark, storage)
 
     def execute(self, statement: str) -> DataFrame | None:
-        """The result of a query, or None for a table definition."""
-        statement = statement.strip().rstrip(";").strip()
+        """The result of one query, or None for a table definition; a final semicolon and comments are allowed."""
+        whole, rest = split(statement)
+        if len(whole) + bool(bare(rest)) > 1:
+            raise UnsupportedStatement("one statement at a time; `run` takes several")
+        statement = whole[0] if whole else bare(statement)
         if ddl.is_definition(statement):
             definition = ddl.parse(statement)
             self.catalog.define(definition, f"{self.data_dir}/{definition.name}{self.extension}")
@@ -39,6 +43,11 @@ class Engine:
             return self.spark.sql(statement)
         raise UnsupportedStatement(f"only CREATE TABLE and SELECT are supported: {statement[:60]!r}")
 
+    def run(self, script: str) -> list[DataFrame | None]:
+        """The results of a script's statements, in order."""
+        whole, rest = split(script)
+        return [self.execute(s) for s in (*whole, *filter(None, [bare(rest)]))]
+
     def parquet(self, name: str, path: str | None = None) -> DataFrame:
         return self.catalog.parquet(name, path or f"{self.data_dir}/{name}.parquet")
 

@@ -6,15 +6,20 @@ decimals, so that no result depends on the order of addition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as agg
 from millrace.operators.joins import chain_join, hash_join, merge_join
+from millrace.operators.layout import buckets_for, drop_stored, store_sorted, stored
 from millrace.operators.ordering import limited, ordered, top
 from millrace.plans.engine import Engine
+from millrace.sources.pipe import pipe_lines, write_pipe
+from millrace.sources.scratch import hold, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,15 +54,27 @@ def statement(name: str, tables: str, sql: str, oracle: str | None = None) -> No
     """Register one SQL text that the engine and the oracle both run."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark, sf_dir)
-        for t in tables.split():
-            engine.parquet(t)
-        return engine.execute(sql)
+        with own_views(spark, tables.split()):
+            engine = Engine(spark, sf_dir)
+            for t in tables.split():
+                engine.parquet(t)
+            result = engine.execute(sql)  # names are resolved here, so the views may go
+            engine.catalog.clear()
+        return result
 
     QUERIES[name] = run
     ORACLE_SQL[name] = oracle or sql
 
 
+@contextmanager
+def own_views(spark: SparkSession, names: list[str]):
+    """Names for views of ours; views that the caller has under them come back."""
+    before = {n: spark.table(n) for n in names if any(t.name == n.lower() and t.isTemporary for t in spark.catalog.listTables(pattern=n))}
+    try:
+        yield
+    finally:
+        for name, view in before.items():
+            view.createOrReplaceTempView(name)
 
 
 def net() -> Column:
@@ -273,8 +290,9 @@ def top_k(t):
 @query("""SELECT l_shipdate_day, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate_day FROM lineitem) a
     ORDER BY l_shipdate_day, l_orderkey, l_linenumber, l_partkey, l_suppkey""")
 def sort_large(t):
-    rows = t.lineitem.select(F.col("l_shipdate").cast("date").cast("string").alias("l_shipdate_day"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return ordered(rows, "l_shipdate_day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = t.lineitem.select(F.col("l_shipdate").cast("date").alias("day"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    by_day = ordered(rows, "day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return by_day.select(F.col("day").cast("string").alias("l_shipdate_day"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 # Joins
@@ -311,8 +329,18 @@ def join_two_keys(t):
 
 @query("SELECT s_suppkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer, supplier WHERE c_nationkey = s_nationkey GROUP BY s_suppkey")
 def join_many_to_many(t):
-    joined = merge_join(t.customer, t.supplier, [("c_nationkey", "s_nationkey")])
-    return agg.grouped(joined, ["s_suppkey"], customers=agg.counted(), balance=F.round(agg.total(F.col("c_acctbal")), 2))
+    """Customers are combined by nation before they meet suppliers, so no pair of the two is ever made."""
+    nations = agg.grouped(t.customer, [F.col("c_nationkey").alias("nation")], n=agg.counted(), sum=agg.total(F.col("c_acctbal")))
+    joined = hash_join(t.supplier, nations, [("s_nationkey", "nation")])
+    return agg.grouped(joined, ["s_suppkey"], customers=F.sum("n"), balance=F.round(F.sum("sum"), 2))
+
+
+@query("""SELECT c_custkey, s_suppkey FROM customer, supplier WHERE c_nationkey = s_nationkey
+    AND c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AND s_acctbal > 5000""")
+def join_many_pairs(t):
+    """Every pair of equal keys, many on both sides."""
+    customers = t.customer.where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000))
+    return merge_join(customers, t.supplier.where(F.col("s_acctbal") > 5000), [("c_nationkey", "s_nationkey")]).select("c_custkey", "s_suppkey")
 
 
 @query("""SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer, orders, lineitem, nation
@@ -322,10 +350,14 @@ def join_four_chain(t):
     return agg.grouped(chain_join(t.lineitem, *steps), ["n_name"], n=agg.counted(), revenue=revenue())
 
 
-statement("join_six_cyclic", "customer orders lineitem supplier nation region", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
+# the tables stand from small to large, so that what region and supplier leave out never meets orders
+SMALL_FIRST = "FROM region, nation, supplier, lineitem, orders, customer"
+AS_ASKED = "FROM customer, orders, lineitem, supplier, nation, region"
+SIX_CYCLIC = """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM customer, orders, lineitem, supplier, nation, region
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
-        AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name""")
+        AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name"""
+statement("join_six_cyclic", "customer orders lineitem supplier nation region", SIX_CYCLIC.replace(AS_ASKED, SMALL_FIRST), SIX_CYCLIC)
 statement("join_explicit_on", "orders customer nation", """SELECT o.o_orderkey, c.c_name, n.n_name
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 250000""")
 statement("join_self", "nation", "SELECT a.n_name AS first_name, b.n_name AS second_name FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -351,11 +383,12 @@ statement("q3", "customer orders lineitem", """SELECT l_orderkey, round(sum(l_ex
     FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
         AND o_orderdate < CAST('1997-03-15' AS DATE) AND l_shipdate > CAST('1997-03-15' AS DATE)
     GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, day, l_orderkey LIMIT 10""")
-statement("q5", "customer orders lineitem supplier nation region", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
+Q5 = """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM customer, orders, lineitem, supplier, nation, region
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey
         AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= CAST('1996-01-01' AS DATE) AND o_orderdate < CAST('1998-01-01' AS DATE)
-    GROUP BY n_name ORDER BY revenue DESC, n_name""")
+    GROUP BY n_name ORDER BY revenue DESC, n_name"""
+statement("q5", "customer orders lineitem supplier nation region", Q5.replace(AS_ASKED, SMALL_FIRST), Q5)
 statement("q6", "lineitem", """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
     WHERE l_shipdate >= CAST('1996-01-01' AS DATE) AND l_shipdate < CAST('1997-01-01' AS DATE) AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 statement("q10", "customer orders lineitem nation", """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name
@@ -372,9 +405,6 @@ statement("events_batch", "events", "SELECT event_type, count(*) AS n, round(max
 
 
 def _as_text(spark: SparkSession, name: str, df: DataFrame, ddl: str, sql: str, storage: str) -> DataFrame:
-    from millrace.sources.pipe import write_pipe
-    from millrace.sources.scratch import scratch
-
     folder = scratch(spark, "pipe")
     write_pipe(df, f"{folder}/{name}.csv")
     engine = Engine(spark, folder, storage)
@@ -406,21 +436,76 @@ def text_table_memory(t):
 
 @query("SELECT n_nationkey || '|' || n_name || '|' || n_regionkey || '|' AS line FROM nation")
 def bar_lines(t):
-    from millrace.sources.pipe import pipe_lines
-
     return pipe_lines(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, max(o_totalprice) AS price FROM lineitem, orders WHERE l_orderkey = o_orderkey GROUP BY l_orderkey")
 def join_stored_sorted(t):
-    """Both tables are stored in buckets by their key first; the join and the grouping move no row."""
-    import uuid
+    """Both tables are stored in buckets by their key, once for a session; the join and the grouping move no row."""
+    lines, orders = t.lineitem.select("l_orderkey"), t.orders.select("o_orderkey", "o_totalprice")
+    tag, buckets = hashlib.md5(f"{t.sf_dir} {t.spark.sparkContext.applicationId}".encode()).hexdigest()[:12], buckets_for(lines, orders)
+    names = [f"millrace_sorted_{kind}_{tag}" for kind in ("lineitem", "orders")]
+    for name, df, key in zip(names, (lines, orders), ("l_orderkey", "o_orderkey"), strict=True):
+        if not t.spark.catalog.tableExists(name):
+            store_sorted(df, name, key, buckets, scratch(t.spark, "sorted"))
+            hold(name, lambda name=name: drop_stored(t.spark, name))
+    joined = merge_join(*(stored(t.spark, name) for name in names), [("l_orderkey", "o_orderkey")])
+    return agg.grouped(joined, ["l_orderkey"], n=agg.counted(), price=F.max("o_totalprice"))
 
-    from millrace.operators.layout import store_sorted, stored
-    from millrace.sources.scratch import scratch
 
-    tag = uuid.uuid4().hex[:8]
-    for name, df, key in (("lineitem", t.lineitem.select("l_orderkey"), "l_orderkey"), ("orders", t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey")):
-        store_sorted(df, f"sorted_{name}_{tag}", key, 8, scratch(t.spark, "sorted"))
-    joined = merge_join(stored(t.spark, f"sorted_lineitem_{tag}"), stored(t.spark, f"sorted_orders_{tag}"), [("l_orderkey", "o_orderkey")])
-    return agg.grouped(joined, ["l_orderkey"], n=agg.counted(), price=F.max("o_totalprice"))
+@query("""SELECT c_mktsegment AS mktsegment, count(*) AS n, max(o_totalprice) AS most FROM customer, orders WHERE c_custkey = o_custkey GROUP BY c_mktsegment""")
+def join_by_reference(t):
+    """Two text tables joined by the key that their definitions name; orders are stored in its order."""
+    folder = scratch(t.spark, "pipe")
+    write_pipe(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), f"{folder}/REF_ORDERS.csv")
+    write_pipe(t.customer.select("c_custkey", "c_mktsegment"), f"{folder}/REF_CUSTOMER.csv")
+    engine = Engine(t.spark, folder)
+    engine.run("""CREATE TABLE REF_CUSTOMER (CUSTKEY int, MKTSEGMENT char(10), PRIMARY KEY (CUSTKEY));
+        CREATE TABLE REF_ORDERS (ORDERKEY int, CUSTKEY int, TOTALPRICE decimal, PRIMARY KEY (ORDERKEY), FOREIGN KEY (CUSTKEY) REFERENCES REF_CUSTOMER);""")
+    orders, customers = (engine.catalog.tables[name] for name in ("ref_orders", "ref_customer"))
+    joined = hash_join(orders, customers, engine.catalog.join_keys("REF_ORDERS", "REF_CUSTOMER"))
+    return agg.grouped(joined, ["mktsegment"], n=agg.counted(), most=F.max("totalprice"))
+
+
+@query("""SELECT CAST(n_regionkey AS BIGINT) AS a, count(*) AS n, min(n_name) AS first_name, max(n_name) AS last_name FROM nation GROUP BY n_regionkey""")
+def text_repeated_keys(t):
+    """Rows that share a primary key all stay."""
+    rows = t.nation.select("n_regionkey", "n_name")
+    ddl = "CREATE TABLE TEXT_KEYS (A int, B varchar(25), PRIMARY KEY (A));"
+    return _as_text(t.spark, "TEXT_KEYS", rows, ddl, "SELECT a, count(*) AS n, min(b) AS first_name, max(b) AS last_name FROM text_keys GROUP BY a", "disk")
+
+
+SESSION = """CREATE TABLE TALK (A int,
+    B varchar(25), -- a semicolon ; in a comment
+    PRIMARY KEY (A));
+SELECT count(*) FROM TALK; SELECT min(A) AS least -- , nothing
+    , max(A) AS most /* two ; columns */ FROM TALK;
+SELECT ';' AS mark, B FROM TALK WHERE A = 3;
+SELECT A, B FROM TALK WHERE B LIKE '%2'
+ORDER BY A DESC;
+SELECT B FROM TALK WHERE A < 0;
+exit;
+SELECT 1;
+"""
+
+
+@query("""WITH said(nth, line) AS (
+        SELECT 0, count(*) || '|' FROM nation
+        UNION ALL SELECT 1, min(n_nationkey) || '|' || max(n_nationkey) || '|' FROM nation
+        UNION ALL SELECT 2, ';|' || n_name || '|' FROM nation WHERE n_nationkey = 3
+        UNION ALL SELECT CAST(2 + row_number() OVER (ORDER BY n_nationkey DESC) AS INTEGER), n_nationkey || '|' || n_name || '|' FROM nation WHERE n_name LIKE '%2'
+        UNION ALL SELECT CAST(3 + count(*) AS INTEGER), '' FROM nation WHERE n_name LIKE '%2'
+    ) SELECT CAST(nth AS BIGINT) AS nth, line FROM said""")
+def prompt_session(t):
+    """What the prompt prints for a script of several statements, a line a row, without the prompts."""
+    import io
+
+    from millrace.repl import PROMPT, repl
+
+    folder, out = scratch(t.spark, "pipe"), io.StringIO()
+    write_pipe(t.nation.select("n_nationkey", "n_name"), f"{folder}/TALK.csv")
+    engine = Engine(t.spark, folder)
+    repl(engine, io.StringIO(SESSION), out)
+    engine.catalog.clear()
+    said = out.getvalue().replace(PROMPT, "").split("\n")[:-1]
+    return t.spark.createDataFrame(list(enumerate(said)), "nth long, line string")

@@ -1,7 +1,8 @@
 """Table definitions: ``CREATE TABLE name (column type, ..., PRIMARY KEY (...), INDEX ...)``.
 
 Spark's own grammar refuses primary keys, indexes and lengthless varchar in session tables, so the
-statement is read here.  Keys and indexes are kept as metadata: Spark plans need neither.
+statement is read here.  Primary keys are kept as metadata; indexes and references of disk tables
+make sorted copies (see ``catalog``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ class TableDefinition:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(name, kind) for name, kind in self.columns])
 
+    def sorted_by(self) -> list[str]:
+        """The columns that a copy is kept in order of: the first of each index, and those that refer to a table."""
+        columns = {name.lower(): name for name, _ in self.columns}
+        return list(dict.fromkeys(columns[c.lower()] for c in (*(index[0] for index in self.indexes), *self.references)))
+
 
 def is_definition(statement: str) -> bool:
     return re.match(r"\s*create\s+table\b", statement, re.I) is not None
@@ -99,7 +105,10 @@ def _table_level(table: TableDefinition, tokens: list[str], words: list[str]) ->
         for k, column in enumerate(_names(tokens, at)):
             table.references[column] = (tokens[target + 1], there[k] if k < len(there) else None)
     elif kind in ("index", "key", "unique"):
-        table.indexes.append(_names(tokens, at))
+        names = _names(tokens, at)
+        if not names:
+            raise DdlError(f"no columns in {' '.join(tokens)!r}")
+        table.indexes.append(names)
 
 
 def _column(table: TableDefinition, tokens: list[str], words: list[str]) -> None:

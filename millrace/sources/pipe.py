@@ -11,12 +11,16 @@ def read_pipe(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """Typed rows of a file or folder.
 
     A trailing bar and missing trailing fields are allowed, an empty field is NULL, quotes and
-    spaces are kept.  A malformed number or date fails the query: fields are read as text and cast
-    under ANSI rules, since the reader's own lenient mode would turn them into NULLs.
+    spaces are kept, blank lines are skipped.  A row with a value beyond the last column fails the
+    query, and so does a malformed number or date: fields are read as text and cast under ANSI rules.
+    Only the columns that a query names are cast.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).option("sep", "|").option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    n = len(schema)
+    fields = spark.read.text(path).where(F.trim("value") != "").select("value", F.split("value", r"\|", -1).alias("fields"))
+    beyond = F.array_join(F.slice("fields", n + 1, F.greatest(F.size("fields") - n, F.lit(0))), "")
+    too_long = F.raise_error(F.concat(F.lit(f"a row has more than {n} fields: "), F.substring("value", 1, 200))).cast("boolean")
+    checked = fields.where(F.when((F.size("fields") > n) & (beyond != ""), too_long).otherwise(True))
+    return checked.select(*[F.nullif(F.get("fields", F.lit(k)), F.lit("")).cast(f.dataType).alias(f.name) for k, f in enumerate(schema)])
 
 
 def pipe_lines(df: DataFrame, column: str = "line") -> DataFrame:

@@ -3,10 +3,10 @@ from pyspark.sql import functions as F
 
 from millrace import Engine
 from millrace.operators.joins import chain_join, hash_join, merge_join
-from millrace.operators.layout import store_sorted, stored
+from millrace.operators.layout import buckets_for, store_sorted, stored
 from millrace.operators.ordering import limited, top
 from millrace.plans.inspect import estimated_bytes, operators, plan_text, pushed_filters, read_columns
-from millrace.queries import Tables
+from millrace.queries import QUERIES, Tables
 
 
 @pytest.fixture
@@ -77,3 +77,77 @@ def test_stored_order_saves_the_shuffle(t, tmp_path):
 
 def test_estimate_grows_with_the_table(t):
     assert estimated_bytes(t.region) < estimated_bytes(t.lineitem)
+
+
+def test_buckets_grow_with_the_table(t):
+    assert buckets_for(t.region) == 1 and buckets_for(t.region, t.lineitem) == buckets_for(t.lineitem)
+    from millrace.operators import layout
+
+    size = estimated_bytes(t.lineitem)
+    for n, want in ((1, 1), (2, 2), (3, 4), (100, 128)):
+        assert _with(layout, "BUCKET_BYTES", -(-size // n), lambda: buckets_for(t.lineitem)) == want
+
+
+def _with(module, name, value, call):
+    before = getattr(module, name)
+    setattr(module, name, value)
+    try:
+        return call()
+    finally:
+        setattr(module, name, before)
+
+
+def test_many_to_many_aggregates_before_the_join(spark, sf_dir):
+    text = plan_text(QUERIES["join_many_to_many"](spark, sf_dir), "simple")
+    join = next(line for line in text.splitlines() if "Join" in line)
+    below = text[text.index(join) :]
+    assert "c_nationkey" in below and below.count("HashAggregate(keys=[c_nationkey") >= 2
+
+
+@pytest.mark.parametrize("name", ["q5", "join_six_cyclic"])
+def test_small_tables_join_first(spark, sf_dir, name):
+    """Line items meet suppliers of the region before they meet orders."""
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    order = [text.index(c) for c in ("r_regionkey", "s_suppkey")]
+    joins = [line for line in text.splitlines() if "Join Inner" in line]
+    assert len(joins) == 5 and order
+    inner = joins[-1]
+    assert "n_regionkey" in inner and "r_regionkey" in inner
+    depth = lambda c: next(len(line) - len(line.lstrip(" :+-")) for line in joins if c in line)
+    assert depth("l_suppkey") > depth("o_orderkey")
+
+
+def test_stored_tables_are_made_once(spark, sf_dir):
+    from millrace.sources.scratch import workspace
+
+    with workspace():
+        first = QUERIES["join_stored_sorted"](spark, sf_dir)
+        tables = {x.name for x in spark.catalog.listTables()}
+        second = QUERIES["join_stored_sorted"](spark, sf_dir)
+        assert {x.name for x in spark.catalog.listTables()} == tables
+        assert "Exchange" not in operators(second) and first.count() == second.count()
+
+
+def test_sorts_by_dates_not_by_their_text(spark, sf_dir):
+    text = plan_text(QUERIES["sort_large"](spark, sf_dir), "simple")
+    assert "Sort [day#" in text
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_nothing_is_left_behind(spark, sf_dir, name):
+    """Catalogue, settings and scratch folder are as before when a query's result has been used."""
+    import os
+
+    from millrace.sources.scratch import workspace
+
+    mark = spark.createDataFrame([(7,)], "mine int")
+    mark.createOrReplaceTempView("lineitem")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    state = lambda: (sorted((t.name, t.isTemporary) for t in spark.catalog.listTables()), sorted(spark.conf.getAll.items()), sorted(os.listdir(folder)) if os.path.isdir(folder) else [])
+    before = state()
+    with workspace():
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    after = state()
+    assert spark.table("lineitem").collect()[0]["mine"] == 7
+    spark.catalog.dropTempView("lineitem")
+    assert after == before

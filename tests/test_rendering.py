@@ -5,7 +5,7 @@ import pytest
 
 from millrace import Engine
 from millrace.functions.rendering import java_double, lines
-from millrace.repl import repl
+from millrace.repl import message, repl
 from millrace.sources.pipe import pipe_lines, write_pipe
 
 
@@ -52,3 +52,51 @@ def test_repl(spark, tmp_path):
     assert "UNRESOLVED_COLUMN" in got[3]
     assert got[4] == "2|\n"
     assert got[5:] == [""]
+
+
+def said(spark, text, **streams):
+    out = io.StringIO()
+    repl(Engine(spark), io.StringIO(text), out, **streams)
+    return out.getvalue().replace("$>", "").splitlines()
+
+
+@pytest.mark.parametrize(
+    ("text", "lines"),
+    [
+        ("SELECT 1 AS a -- note\n, 2 AS b;\n", ["1|2|"]),
+        ("SELECT 1; SELECT 2;\n", ["1|", "2|"]),
+        ("SELECT 1;SELECT\n2\n;SELECT 3;\n", ["1|", "2|", "3|"]),
+        ("SELECT ';' AS a, \"x;y\" AS b;\n", [";|x;y|"]),
+        ("SELECT 'it\\'s; so' AS a;\n", ["it's; so|"]),
+        ("SELECT 1 AS `a;b`;\n", ["1|"]),
+        ("SELECT /* one; /* two */ ; */ 1 -- three;\n;\n", ["1|"]),
+        ("-- only a comment;\n;; /* nothing */ ;\nSELECT 4;\n", ["4|"]),
+        ("SELECT 'a\nb' AS a;\n", ["a", "b|"]),
+        ("SELECT 5;\nSELECT 6\n", ["5|", "unfinished statement: 'SELECT 6'"]),
+        ("SELECT 7; -- the end", ["7|"]),
+        ("EXIT; SELECT 8;\n", []),
+    ],
+)
+def test_statements_of_a_script(spark, text, lines):
+    assert said(spark, text) == lines
+
+
+def test_errors_say_something(spark):
+    assert message(ValueError("\n\n  first\nsecond")) == "first" and message(KeyError()) == "KeyError"
+    got = said(spark, "SELECT 1 +;\nDROP TABLE x;\nCREATE TABLE T (A blob);\nSELECT 1;\n")
+    assert len(got) == 4 and all(got) and "PARSE_SYNTAX_ERROR" in got[0] and "unsupported type" in got[2] and got[3] == "1|"
+
+
+def test_times(spark):
+    times = io.StringIO()
+    said(spark, "SELECT 1; SELECT 2;\n", times=times)
+    assert len(times.getvalue().splitlines()) == 2 and times.getvalue().endswith(" ms\n")
+
+
+def test_one_statement_or_several(spark):
+    engine = Engine(spark)
+    assert engine.execute("SELECT 1 AS a; -- done").collect()[0]["a"] == 1
+    assert engine.execute("SELECT /*+ COALESCE(1) */ 2 AS a").collect()[0]["a"] == 2
+    with pytest.raises(ValueError, match="one statement"):
+        engine.execute("SELECT 1; SELECT 2")
+    assert [df.collect()[0][0] for df in engine.run("SELECT 1; SELECT 2")] == [1, 2]

@@ -41,6 +41,17 @@ def test_fields(table, line, row):
     assert rows(table(line + "\n")) == [row]
 
 
+@pytest.mark.parametrize("line", ["1|x|2.5|1995-01-02|more", "1|x|2.5|1995-01-02||more|", "1|x|2.5|1995-01-02|more|"])
+@pytest.mark.parametrize("sql", ["SELECT * FROM R", "SELECT A FROM R", "SELECT count(*) FROM R"])
+def test_a_value_beyond_the_last_column_fails(table, line, sql):
+    with pytest.raises(Exception, match="more than 4 fields"):
+        rows(table("2|y|1.0|1995-01-02\n" + line + "\n"), sql)
+
+
+def test_blank_lines_and_line_ends(table):
+    assert [r[0] for r in rows(table("\n1|x|2.5|1995-01-02||\r\n   \n2|y\n\n"))] == [1, 2]
+
+
 def test_bad_number_fails(table):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         rows(table("2|y|abc|1995-02-03\n"))
@@ -77,6 +88,52 @@ def test_unknown_mode_and_statement(spark):
         Engine(spark).execute("DROP TABLE x")
 
 
+INDEXED = """CREATE TABLE {name} (ORDERKEY int, CUSTKEY int REFERENCES CUSTOMER(CUSTKEY), NOTE string, PRIMARY KEY (ORDERKEY), INDEX (NOTE, ORDERKEY));"""
+
+
+def test_indexes_make_sorted_copies_of_disk_tables(spark, tmp_path):
+    from millrace.plans.inspect import operators
+    from millrace.sources.scratch import workspace
+
+    (tmp_path / "ORDERS.csv").write_text("".join(f"{k}|{k % 7}|n{k % 3}|\n" for k in range(200)))
+    (tmp_path / "CUSTOMER.csv").write_text("".join(f"{k}|c{k}|\n" for k in range(7)))
+    with workspace():
+        engine = Engine(spark, str(tmp_path))
+        engine.execute(INDEXED.format(name="ORDERS"))
+        engine.execute("CREATE TABLE CUSTOMER (CUSTKEY int, NAME string, INDEX (CUSTKEY))")
+        assert set(engine.catalog.copies["orders"]) == {"note", "custkey"}
+        assert rows(engine, "SELECT count(*), max(ORDERKEY) FROM ORDERS") == [(200, 199)]
+        grouped = engine.execute("SELECT NOTE, count(*) AS n FROM ORDERS GROUP BY NOTE")
+        assert "Exchange" not in operators(grouped) and grouped.count() == 3
+        joined = engine.catalog.sorted_copy("orders", "custkey").hint("merge").join(engine.catalog.sorted_copy("customer", "custkey"), "CUSTKEY")
+        assert "Exchange" not in operators(joined) and joined.count() == 200
+        assert engine.catalog.join_keys("orders", "customer") == [("CUSTKEY", "CUSTKEY")]
+        copies = list(engine.catalog.copies["orders"].values())
+        engine.execute(INDEXED.format(name="ORDERS"))
+        assert not any(spark.catalog.tableExists(c) for c in copies)
+        copies = list(engine.catalog.copies["orders"].values())
+    assert not any(spark.catalog.tableExists(c) for c in copies) and not engine.catalog.tables
+
+
+def test_memory_tables_have_no_copies(spark, tmp_path):
+    (tmp_path / "ORDERS.csv").write_text("1|2|x|\n")
+    engine = Engine(spark, str(tmp_path), "memory")
+    engine.execute(INDEXED.format(name="ORDERS"))
+    assert not engine.catalog.copies and rows(engine, "SELECT * FROM ORDERS") == [(1, 2, "x")]
+    engine.catalog.clear()
+
+
+def test_join_keys_of_definitions(spark, tmp_path):
+    for name in ("LINEITEM", "PART", "OTHER"):
+        (tmp_path / f"{name}.csv").write_text("1|2|\n")
+    engine = Engine(spark, str(tmp_path))
+    engine.run("CREATE TABLE LINEITEM (ORDERKEY int, PARTKEY int); CREATE TABLE PART (PARTKEY int, NAME string, PRIMARY KEY (PARTKEY)); CREATE TABLE OTHER (A int, B int)")
+    assert engine.catalog.join_keys("lineitem", "part") == [("PARTKEY", "PARTKEY")]
+    with pytest.raises(ValueError, match="refer"):
+        engine.catalog.join_keys("lineitem", "other")
+    engine.catalog.clear()
+
+
 def test_foreign_keys():
     assert join_column("lineitem", "orders") == "ORDERKEY"
     assert join_column("region", "nation") is None
