@@ -2,33 +2,89 @@
 
 from __future__ import annotations
 
-from math import log
+from collections import Counter
+from importlib.resources import files as packaged
+from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import narrow_reads, saved
+from millrace.llm.quality_rules import let
 
-#: Short notices by SPDX identifier.
+#: Notices by SPDX identifier, as headers state them.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\")",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "BSD-2-Clause": ("Use of this source code is governed by a BSD 2-Clause license.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-3.0",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
     ),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty.",),
 }
+
+
+def licence_texts() -> dict[str, str]:
+    """The whole texts of licences by SPDX identifier, for files that hold nothing else."""
+    return {f.name.removesuffix(".txt"): f.read_text() for f in sorted(packaged("millrace.llm").joinpath("licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 BREAKS = r"[^\p{L}\p{N}-]+"
 #: A file of such a name states the licence of its directory.
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
+KIND = "array<struct<line:int,span:int,terms:array<string>>>"
+
+
 def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BREAKS), "")
 
@@ -38,70 +94,80 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def headers(text: Column, named: Column, marks: Column, wrap: int) -> Column:
+    """Array of (line, span, terms): the runs of 1 to ``wrap`` lines with a mark; of named files also (-1, 0, all terms)."""
+    lines = F.transform(F.split(text, "\n"), terms)
+
+    def runs(x, hit):
+        starting = lambda span: F.transform(x, lambda _, k: F.struct(k.alias("line"), F.lit(span).alias("span")))
+        inside = lambda p: (p["line"] + p["span"] <= F.size(x)) & F.array_contains(F.slice(hit, p["line"] + 1, p["span"]), True)
+        chosen = F.filter(F.concat(*map(starting, range(1, wrap + 1))), inside)
+        found = F.transform(chosen, lambda p: F.struct(p["line"].alias("line"), p["span"].alias("span"), F.flatten(F.slice(x, p["line"] + 1, p["span"])).alias("terms")))
+        return F.when(F.array_contains(hit, True), found).otherwise(F.array().cast(KIND))
+
+    whole = F.when(named, F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("span"), terms(text).alias("terms"))).cast(KIND)).otherwise(F.array().cast(KIND))
+    marked = lambda x: F.transform(x, lambda line: F.arrays_overlap(line, marks))
+    return F.concat(let(lines, lambda x: let(marked(x), lambda hit: runs(x, hit))).cast(KIND), whole)
+
+
 def scan(
-    files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES, stating: str = "name",
-    id_column: str = "doc_id", path_column: str = "path", text_column: str = "text", frequencies: str = "notices",
+    files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES, stating: str = "name", wrap: int = 4,
+    texts: dict[str, str] | None = None, id_column: str = "doc_id", path_column: str = "path", text_column: str = "text",
 ) -> DataFrame:
     """Rows (id, path, license, similarity, origin, inherited_from), one for each input row, whole texts.
 
-    Every line of a text is compared as a header, and files with a licence's name also as a whole.
-    Licence files are those with such a name, or, if ``stating`` is "any", all with their own licence.  The best template at ``threshold`` or more is the
-    file's own licence; a file without one inherits from the nearest ancestor directory with a
+    Headers are runs of 1 to ``wrap`` neighbouring lines, so that a notice may be wrapped, in comments
+    or not; every run of every text is compared with the notices in ``templates``.  Files with a
+    licence's name are also compared as a whole, with notices and with the licences' ``texts`` (by
+    default those that come with the package).  Licence files are those with such a name, or, if
+    ``stating`` is "any", all with their own licence.  The best template at ``threshold`` or more is
+    the file's own licence; a file without one inherits from the nearest ancestor directory with a
     licence file, its own first.  Ties go to the licence first by name.  Null texts are empty, a
     null path has no directory and inherits nothing, null ids stay null, repeated rows stay apart,
     an empty table gives no rows, other columns are ignored.
 
-    Inverse document frequencies come from all texts.  With ``frequencies`` "all" those of every term
-    are counted; with "notices" a term that no template has weighs as if it stood in no text.  What is
-    collected or broadcast is bounded by the templates; other terms and directories are joined, however many.
+    Inverse document frequencies are those of all texts, every term counted.  What is collected or
+    broadcast is bounded by the templates; other terms and directories are joined, however many.
     """
     spark = files.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    notices = [F.struct(F.lit(name), F.lit(k), F.lit(notice)) for name, several in sorted(templates.items()) for k, notice in enumerate(several)]
-    told = F.array(*notices).cast("array<struct<license:string,notice:int,text:string>>")
-    known = spark.range(1).select(F.inline(told)).select("license", "notice", F.explode(terms(F.col("text"))).alias("term"))
-    vocabulary = sorted({r[0] for r in known.select("term").distinct().collect()})
-    listed = F.array(*map(F.lit, vocabulary))
-    every = frequencies == "all"
-    seen = F.array_distinct(terms(text)) if every else F.array_intersect(terms(text), listed)
-    counts = files.select(F.explode(seen).alias("term")).groupBy("term").count()
-    counts = saved(counts, "license-terms") if every else counts
+    with narrow_reads(spark):
+        counts = saved(files.select(F.explode(F.array_distinct(terms(text))).alias("term")).groupBy("term").count(), "license-terms")
     n = files.count()
-    found = {r[0]: r[1] for r in counts.where(F.array_contains(listed, F.col("term"))).collect()}
-    idf = {t: log((n + 1) / (found.get(t, 0) + 1)) + 1 for t in vocabulary}
-    rare = log(n + 1) + 1  # of terms that stand in no text
-    weights = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, float(idf[t]))])
-    weight = lambda term: F.coalesce(F.element_at(weights, term), F.lit(float(rare)))
-    own = known.groupBy("license", "notice", "term").agg(F.count("*").alias("tf")).withColumn("w", F.col("tf") * weight(F.col("term")))
-    norms = own.groupBy("license", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = own.join(F.broadcast(norms), ["license", "notice"]).select("license", "notice", "term", (F.col("w") / F.col("norm")).alias("unit"))
-    needed = needed_terms(own.collect(), threshold)
-    marks = F.array(*map(F.lit, needed)) if needed else F.array().cast("array<string>")
+    held = [(name, k, False, notice) for name, several in sorted(templates.items()) for k, notice in enumerate(several)]
+    held += [(name, -1, True, body) for name, body in sorted((licence_texts() if texts is None else texts).items())]
+    told = spark.createDataFrame(held, "license string, notice int, whole boolean, text string").select("license", "notice", "whole", terms(F.col("text")).alias("terms"))
+    known = [(r["license"], r["notice"], r["whole"], Counter(r["terms"])) for r in told.collect()]
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({t for *_, c in known for t in c})], "term string")
+    found = {r["term"]: r["count"] for r in counts.join(F.broadcast(vocabulary), "term").collect()}
+    idf = lambda term: log((n + 1) / (found.get(term, 0) + 1)) + 1
+    own = []
+    for name, k, whole, tf in known:
+        weights = {t: c * idf(t) for t, c in tf.items()}
+        norm = sqrt(sum(w * w for w in weights.values()))
+        own += [(name, k, whole, t, idf(t), w / norm) for t, w in weights.items()]
+    needed = needed_terms([{"license": o[0], "notice": o[1], "term": o[3], "unit": o[5]} for o in own if not o[2]], threshold)
+    marks = F.array(*map(F.lit, needed)).cast("array<string>")
+    units_known = spark.createDataFrame(own, "license string, notice int, whole boolean, term string, weight double, unit double")
 
     path = F.col(path_column)
     named = F.coalesce(path.rlike(NAMED), F.lit(False))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line"), terms(x).alias("terms"))), lambda u: F.arrays_overlap(u["terms"], marks))
-    whole = F.when(named, F.array(F.struct(F.lit(-1).alias("line"), terms(text).alias("terms")))).otherwise(F.array().cast("array<struct<line:int,terms:array<string>>>"))
-    rows = files.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), path.alias("path"),
-        named.alias("named"), F.concat(lines, whole).alias("units"),
-    )
-    rows = saved(rows, "license-units")
-
-    units = rows.select("row", F.explode("units").alias("u")).select("row", "u.line", F.explode("u.terms").alias("term"))
-    tf = units.groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
-    if every:
-        inside = F.array_contains(listed, F.col("term"))
-        others = tf.where(~inside).join(counts, "term").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("count") + 1)) + 1))
-        tf = tf.where(inside).withColumn("w", F.col("tf") * weight(F.col("term"))).unionByName(others.select("row", "line", "term", "tf", "w"))
-    else:
-        tf = tf.withColumn("w", F.col("tf") * weight(F.col("term")))
-    sized = tf.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(own), "term").groupBy("row", "line", "license", "notice").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scored = dots.join(sized, ["row", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("row").agg(
-        F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("best")
-    )
+    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), path.alias("path"), named.alias("named"), headers(text, named, marks, wrap).alias("units"))
+    with narrow_reads(spark):
+        rows = saved(rows, "license-units")
+
+    units = rows.select("row", F.explode("units").alias("u")).select("row", "u.line", "u.span", F.explode("u.terms").alias("term"))
+    tf = units.groupBy("row", "line", "span", "term").agg(F.count("*").alias("tf"))
+    weights = F.broadcast(units_known.select("term", "weight").distinct())
+    tf = tf.join(weights, "term", "left")
+    inside = tf.where("weight is not null").withColumn("w", F.col("tf") * F.col("weight"))
+    others = tf.where("weight is null").join(counts, "term").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("count") + 1)) + 1))
+    each = inside.select("row", "line", "span", "w").unionByName(others.select("row", "line", "span", "w"))
+    sized = each.groupBy("row", "line", "span").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = inside.join(F.broadcast(units_known.drop("weight")), "term").where(~F.col("whole") | (F.col("line") < 0))
+    dots = dots.groupBy("row", "line", "span", "license", "notice").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    scored = dots.join(sized, ["row", "line", "span"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("best"))
     best = saved(best.select("row", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("similarity")), "licenses")
 
     stated = rows.drop("units").join(best, "row", "left")

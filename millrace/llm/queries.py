@@ -35,7 +35,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     that holds a notice states its licence."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 200).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan.scan(docs.withColumn("path", path), stating="any", frequencies="all")
+    return license_scan.scan(docs.withColumn("path", path), stating="any")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,27 +119,28 @@ ORACLE_SQL = {
             SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}-]+')) AS term FROM f) AS x GROUP BY term
         ), size AS (
             SELECT count(*) AS n FROM f
-        ), weights AS (
-            SELECT term, ln((n + 1) / (coalesce(c, 0) + 1)) + 1 AS weight FROM (SELECT DISTINCT term FROM known) AS v CROSS JOIN size LEFT JOIN seen USING (term)
+        ), idf AS (
+            SELECT term, ln((n + 1) / (coalesce(c, 0) + 1)) + 1 AS weight FROM (SELECT term FROM known UNION SELECT term FROM seen) AS v CROSS JOIN size LEFT JOIN seen USING (term)
         ), own AS (
-            SELECT license, notice, term, count(*) * any_value(weight) AS w FROM known JOIN weights USING (term) GROUP BY license, notice, term
+            SELECT license, notice, term, count(*) * any_value(weight) AS w FROM known JOIN idf USING (term) GROUP BY license, notice, term
         ), units AS (
             SELECT license, notice, term, w / sqrt(sum(w * w) OVER (PARTITION BY license, notice)) AS unit FROM own
         ), lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f
+            SELECT doc_id, string_split(text, chr(10)) AS l FROM f
+        ), runs AS (
+            SELECT doc_id, k, span, array_to_string(l[k : k + span - 1], chr(10)) AS run FROM lines, unnest(range(1, 5)) AS s(span), unnest(range(1, len(l) - span + 2)) AS t(k)
         ), terms AS (
-            SELECT doc_id, k, unnest(list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{N}-]+'), lambda x: x <> '')) AS term FROM lines
+            SELECT doc_id, k, span, unnest(list_filter(regexp_split_to_array(lower(run), '[^\p{L}\p{N}-]+'), lambda x: x <> '')) AS term FROM runs
         ), counted AS (
-            SELECT doc_id, k, term, count(*) * coalesce(any_value(weight), ln(any_value(n) + 1) + 1) AS w
-            FROM terms CROSS JOIN size LEFT JOIN weights USING (term) GROUP BY doc_id, k, term
+            SELECT doc_id, k, span, term, count(*) * any_value(weight) AS w FROM terms JOIN idf USING (term) GROUP BY doc_id, k, span, term
         ), norms AS (
-            SELECT doc_id, k, sqrt(sum(w * w)) AS norm FROM counted GROUP BY doc_id, k
+            SELECT doc_id, k, span, sqrt(sum(w * w)) AS norm FROM counted GROUP BY doc_id, k, span
         ), dots AS (
-            SELECT doc_id, k, license, notice, sum(w * unit) AS dot FROM counted JOIN units USING (term) GROUP BY doc_id, k, license, notice
+            SELECT doc_id, k, span, license, notice, sum(w * unit) AS dot FROM counted JOIN units USING (term) GROUP BY doc_id, k, span, license, notice
         ), best AS (
             SELECT doc_id, license, similarity FROM (
                 SELECT doc_id, license, round(dot / norm, 6) AS similarity, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, license) AS nth
-                FROM dots JOIN norms USING (doc_id, k)
+                FROM dots JOIN norms USING (doc_id, k, span)
             ) AS x WHERE nth = 1 AND similarity >= 0.6
         ), states AS (
             SELECT folder, first(license ORDER BY similarity DESC, license) AS inherited FROM f JOIN best USING (doc_id) GROUP BY folder

@@ -27,11 +27,12 @@ def terms(text):
     return [t for t in re.split(r"[^\w-]+|_", (text or "").lower()) if t]
 
 
-def brute(rows, threshold=0.6, any_states=False):
+def brute(rows, threshold=0.6, any_states=False, wrap=4):
     n = len(rows)
-    vocabulary = {t for several in L.TEMPLATES.values() for s in several for t in terms(s)}
-    seen = Counter(t for _, _, text in rows for t in set(terms(text)) & vocabulary)
-    weight = lambda t: log((n + 1) / (seen[t] + 1)) + 1 if t in vocabulary else log(n + 1) + 1
+    seen = Counter(t for _, _, text in rows for t in set(terms(text)))
+    weight = lambda t: log((n + 1) / (seen[t] + 1)) + 1
+    notices = [(name, s) for name, several in L.TEMPLATES.items() for s in several]
+    bodies = list(L.licence_texts().items())
 
     def cosine(a, b):
         a, b = ({t: k * weight(t) for t, k in Counter(terms(x)).items()} for x in (a, b))
@@ -41,8 +42,10 @@ def brute(rows, threshold=0.6, any_states=False):
     own, states = [], {}
     for i, path, text in rows:
         named = bool(path and re.search(L.NAMED, path))
-        units = (text or "").split("\n") + [text] * named
-        best = min(((-round(cosine(u, s), 6), name) for name, several in L.TEMPLATES.items() for s in several for u in units), default=(0, None))
+        lines = (text or "").split("\n")
+        units = ["\n".join(lines[k : k + w]) for w in range(1, wrap + 1) for k in range(len(lines) - w + 1)]
+        pairs = [(u, name, s) for u in units for name, s in notices] + [(text, name, s) for name, s in notices + bodies if named]
+        best = min(((-round(cosine(u, s), 6), name) for u, name, s in pairs), default=(0, None))
         own.append((best[1], -best[0]) if -best[0] >= threshold else (None, None))
         if own[-1][0] and path is not None and (named or any_states):
             folder = path.rpartition("/")[0]
@@ -101,3 +104,74 @@ def test_common_words_outside_the_notices_weigh_little(spark, tmp_path):
     want = max(cosine(weigh(t)) for t in L.TEMPLATES["Apache-2.0"])
     assert [(r["doc_id"], r["license"]) for r in own] == [(n - 1, "Apache-2.0")]
     assert own[0]["similarity"] == pytest.approx(want, abs=2e-6)
+
+
+def one(spark, *rows, **how):
+    files = spark.createDataFrame(list(enumerate([*rows, *[(f"src/f{k}.py", f"def f{k}(x): return x + {k}") for k in range(40)]])), "doc_id long, file struct<path:string,text:string>")
+    got = {r["doc_id"]: r for r in L.scan(files.select("doc_id", "file.*"), **how).collect()}
+    return [(got[k]["license"], got[k]["origin"]) for k in range(len(rows))]
+
+
+def test_whole_licence_files(spark):
+    """Each with its own copyright line, without blank lines at the end, and some wrapped anew."""
+    import textwrap
+
+    texts = L.licence_texts()
+    assert len(texts) >= 13 and min(map(len, texts.values())) > 700
+    rows = []
+    for k, (name, body) in enumerate(texts.items()):
+        body = body.replace("<year>", "2020").replace("<owner>", "Some Body").replace("<copyright holders>", "Some Body Else")
+        if k % 2:
+            body = "\n".join(textwrap.wrap(body, 60))
+        rows.append((f"lib{k}/{['LICENSE', 'LICENSE.txt', 'COPYING', 'license.md'][k % 4]}", body))
+    assert one(spark, *rows) == [(name, "own") for name in texts]
+
+
+WRAPPED = """#!/usr/bin/env python
+# Copyright 2020 Some Body
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import os
+"""
+APACHE = """/*
+ * Copyright 2020 Some Body
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main() { return 0; }
+"""
+
+
+def test_wrapped_and_commented_headers(spark):
+    rows = [
+        ("a/x.py", WRAPPED), ("b/x.c", APACHE), ("c/x.js", "// SPDX-License-Identifier: MIT\nlet x = 1;"),
+        ("d/x.go", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage d"),
+        ("e/x.c", WRAPPED.replace("version 3", "version 2").replace("software:", "software;")), ("f/x.py", WRAPPED.replace("GNU General", "GNU Affero General")),
+        ("g/x.md", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+        ("h/x.md", "This work is licensed under the GNU General Public License,\nversion 2."), ("i/x.md", "Nothing of the kind; see the manual."),
+    ]
+    want = ["GPL-3.0", "Apache-2.0", "MIT", "BSD-3-Clause", "GPL-2.0", "AGPL-3.0", "CC-BY-SA-4.0", "GPL-2.0", None]
+    assert one(spark, *rows) == [(name, name and "own") for name in want]
+    # a line alone tells less: of this notice it names the wrong licence, or none
+    assert one(spark, rows[6], wrap=1) != one(spark, rows[6])
+
+
+def test_ties_go_to_the_first_name(spark):
+    same = {"Z-1": ("this very notice",), "B-1": ("this very notice",), "M-1": ("this very notice",)}
+    assert one(spark, ("a/x", "this very notice"), templates=same, texts={}) == [("B-1", "own")]
+    # of two licence files of equal similarity in one directory, too
+    rows = [("p/LICENSE", "Released under the MIT License."), ("p/COPYING", "Licensed under the Apache License, Version 2.0."), ("p/q/x", "text")]
+    assert one(spark, *rows)[2] == ("Apache-2.0", "inherited")
+
+
+def test_very_long_text(spark):
+    body = "\n".join(f"line {k} of many" for k in range(20_000))
+    rows = [("a/x", body + "\n" + MIT + "\n" + body), ("b/x", "word " * 200_000), ("c/x", body)]
+    assert one(spark, *rows) == [("MIT", "own"), (None, None), (None, None)]
