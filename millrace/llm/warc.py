@@ -1,7 +1,8 @@
 """A content-addressed WARC archive.
 
 ``payloads``: each distinct payload once, under its SHA-256.  ``headers``: the exact header block
-of every record and the digest of its payload.  Original records come back through joins.
+of every record and the digest of its payload.  Original records come back through joins, and what
+is read back is parsed from their bytes.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved, scratch
+from millrace.llm.common import dropped, saved, scratch
 
 CRLF = "\r\n"
 URN = "urn:millrace:page:"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Records that share a payload meet it in groups of about so many.
+SHARE = 1 << 16
 
 
 @dataclass
@@ -37,15 +41,17 @@ class Archive:
 
 def write_archive(
     pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least: int = 1000,
-    id_column: str = "page_id", url_column: str = "url", payload_column: str = "html",
+    id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", share: int = SHARE,
 ) -> Archive:
     """Archive one record for each row of ``pages``.
 
     Of records with equal payloads of ``least`` bytes or more, the one with the largest id (of
     repeated ids, any one) is a response and the others revisit it; smaller ones are all responses.
+    Record ids hold the page's id and the row's number, so they differ even where page ids repeat.
     A null payload is empty, a null url is left out of the header, a null id is lower than any other
     and is written as ``null``.  An empty table gives an empty archive; other columns are ignored.
-    Equal payloads are counted before they meet, so one that a third of all rows share is no hot key.
+    Equal payloads are counted before they meet, and the records of one with many are dealt into
+    groups of about ``share``, so that it is no hot key when records come back.
     """
     payload = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), payload.alias("payload"))
@@ -53,66 +59,94 @@ def write_archive(
         "id", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"),
         F.sha2("payload", 256).alias("sha256"), F.monotonically_increasing_id().alias("row"),
     )
-    narrow = saved(narrow, "warc-rows")
-    best = narrow.where(F.col("bytes") >= least).groupBy("sha256").agg(F.max(F.struct("id", "row")).alias("best"))
-    typed = narrow.join(best, "sha256", "left")
-    response = F.col("best").isNull() | (F.col("best.row") == F.col("row"))
-    name = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    narrow = saved(narrow.hint("rebalance"), "warc-rows")
+    kinds = narrow.groupBy("sha256").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("records"))
+    kinds = saved(kinds.withColumn("groups", F.ceil(F.col("records") / share).cast("int")), "warc-payloads")
+    typed = narrow.join(kinds, "sha256")
+    response = (F.col("bytes") < least) | (F.col("best.row") == F.col("row"))
+    urn = lambda page, row: F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
     header = F.concat(
         F.concat_ws(
             CRLF,
             F.lit("WARC/1.1"),
             line("WARC-Type", F.when(response, "response").otherwise("revisit")),
-            line("WARC-Record-ID", name("id")),
+            line("WARC-Record-ID", urn("id", "row")),
             line("WARC-Date", F.lit(date)),
             line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")),
-            F.when(~response, line("WARC-Refers-To", name("best.id"))),
+            F.when(~response, line("WARC-Refers-To", urn("best.id", "best.row"))),
+            F.when(~response, line("WARC-Profile", F.lit(PROFILE))),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
             line("Content-Type", F.lit("text/html; charset=utf-8")),
             line("Content-Length", F.when(response, F.col("bytes")).otherwise(0).cast("string")),
         ),
         F.lit(CRLF + CRLF),
     )
-    typed.select(header.alias("header"), "sha256").write.parquet(f"{path}/headers")
+    group = F.pmod(F.xxhash64("row"), F.col("groups")).cast("int")
+    typed.select(header.alias("header"), "sha256", group.alias("group")).write.parquet(f"{path}/headers")
     rows.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    dropped(narrow, kinds)
     return Archive(pages.sparkSession, path)
 
 
-def field(name: str):
-    return F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
+def records(archive: Archive) -> DataFrame:
+    """Rows (record, payload_bytes, payload_digest): the original records, byte for byte, and the payload that each has or revisits.
+
+    A revisit has no payload of its own.  Size and SHA-1 are worked out once for a stored payload.
+    """
+    # payloads of several groups are few: one of ``SHARE`` records at most
+    several = archive.headers.where("group > 0").groupBy("sha256").agg(F.max("group").alias("last"))
+    stored = archive.payloads.join(several, "sha256", "left").select(
+        "sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("group"),
+    )
+    joined = archive.headers.join(stored, ["sha256", "group"])
+    end = F.lit(CRLF + CRLF).cast("binary")
+    own = F.when(header_field("WARC-Type", F.col("header")) == "response", F.col("payload")).otherwise(F.lit(b""))
+    return joined.select(F.concat(F.col("header").cast("binary"), own, end).alias("record"), "payload_bytes", "payload_digest")
+
+
+def header_field(name: str, header: Column) -> Column:
+    return F.nullif(F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
-def page_of(name: str):
-    return F.nullif(F.regexp_extract(field(name), rf"<{URN}(.*)>", 1), F.lit("null")).cast("long")
+def page_of(name: str, header: Column) -> Column:
+    return F.nullif(F.regexp_extract(header_field(name, header), rf"<{URN}(.*):\d+>", 1), F.lit("null")).cast("long")
 
 
 def read_index(archive: Archive) -> DataFrame:
-    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) from the archive alone.
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to), parsed from the records' bytes.
 
-    Sizes and digests are those of the stored payload, which must agree with the header's.
+    A response's size and digest are those of the bytes that follow its header, a revisit's those of
+    the payload it shares; either must agree with what the header says, and a record must end where
+    its length says.
     """
-    stored = archive.payloads.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    told = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
+    whole = F.col("record").cast("string")
+    header = F.concat(F.substring_index(whole, CRLF + CRLF, 1), F.lit(CRLF + CRLF))
+    found = records(archive).select("record", header.alias("header"), F.col("payload_bytes").alias("shared_bytes"), F.col("payload_digest").alias("shared_digest"))
+    length = header_field("Content-Length", F.col("header")).cast("int")
+    parsed = found.select(
+        "header", "shared_bytes", "shared_digest", length.alias("length"), header_field("WARC-Type", F.col("header")).alias("record_type"),
+        F.substring("record", F.octet_length("header") + 1, length).alias("body"),
+        (F.octet_length("record") - F.octet_length("header") - 4 == length).alias("ends"),
+    )
+    response = F.col("record_type") == "response"
+    parsed = parsed.select(
+        "header", "length", "ends", "record_type",
+        F.when(response, F.octet_length("body").cast("long")).otherwise(F.col("shared_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1("body")).otherwise(F.col("shared_digest")).alias("payload_digest"),
+    )
+    told = F.regexp_replace(header_field("WARC-Payload-Digest", F.col("header")), "^sha1:", "")
     broken = F.raise_error(F.concat(F.lit("header and payload differ: "), "header"))
-    return archive.headers.join(stored, "sha256").select(
-        page_of("WARC-Record-ID").alias("page_id"),
+    return parsed.select(
+        page_of("WARC-Record-ID", F.col("header")).alias("page_id"),
         "payload_bytes",
-        F.when(told == F.col("payload_digest"), told).otherwise(broken).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        page_of("WARC-Refers-To").alias("refers_to"),
+        F.when((told == F.col("payload_digest")) & F.col("ends"), told).otherwise(broken).alias("payload_digest"),
+        "record_type",
+        page_of("WARC-Refers-To", F.col("header")).alias("refers_to"),
     )
 
 
-def records(archive: Archive) -> DataFrame:
-    """Rows (record): the original records, byte for byte; a revisit has no payload of its own."""
-    own = F.when(field("WARC-Type") == "response", F.col("sha256"))
-    headers = archive.headers.select("header", own.alias("sha256"))
-    end = F.lit(CRLF + CRLF).cast("binary")
-    joined = headers.join(archive.payloads, "sha256", "left")
-    return joined.select(F.concat(F.col("header").cast("binary"), F.coalesce("payload", F.lit(b"")), end).alias("record"))
-
-
 def export_warc(archive: Archive, path: str, records_per_file: int = 2000) -> None:
     """Write the records as plain WARC files of at most ``records_per_file`` records (UTF-8 payloads)."""
     whole = records(archive).select(F.decode(F.substring("record", F.lit(1), F.octet_length("record") - 4), "utf-8").alias("value"))

@@ -159,8 +159,14 @@ def test_wrapped_and_commented_headers(spark):
     ]
     want = ["GPL-3.0", "Apache-2.0", "MIT", "BSD-3-Clause", "GPL-2.0", "AGPL-3.0", "CC-BY-SA-4.0", "GPL-2.0", None]
     assert one(spark, *rows) == [(name, name and "own") for name in want]
-    # a line alone tells less: of this notice it names the wrong licence, or none
-    assert one(spark, rows[6], wrap=1) != one(spark, rows[6])
+
+
+def test_runs_of_lines(spark):
+    made = {"X-1": ("alpha beta gamma delta epsilon zeta eta theta",)}
+    text = "# alpha beta\n# gamma delta\n#\n# epsilon zeta eta theta\nmore"
+    assert one(spark, ("a/x", text), templates=made, texts={}) == [("X-1", "own")]
+    text = "# alpha beta\n# gamma delta\n# epsilon zeta\n# eta theta\nmore"
+    assert [one(spark, ("a/x", text), templates=made, texts={}, wrap=w, threshold=0.9)[0][0] for w in (1, 2, 3, 4)] == [None, None, None, "X-1"]
 
 
 def test_ties_go_to_the_first_name(spark):

@@ -44,7 +44,7 @@ def test_round_trip(pages, multiset):
 def test_each_payload_is_stored_once_and_records_come_back(spark, pages, tmp_path):
     archive = warc.write_archive(pages, scratch(spark, "warc"))
     assert archive.payloads.count() == len({(h or "").encode() for _, _, h in ROWS})
-    records = [bytes(r[0]) for r in warc.records(archive).collect()]
+    records = [bytes(r["record"]) for r in warc.records(archive).collect()]
     assert len(records) == len(ROWS)
     for r in records:
         head, _, body = r.partition(b"\r\n\r\n")
@@ -53,6 +53,12 @@ def test_each_payload_is_stored_once_and_records_come_back(spark, pages, tmp_pat
         assert body == body[:size] + b"\r\n\r\n"
         if b"WARC-Type: response" in head:
             assert hashlib.sha1(body[:size]).hexdigest().encode() in head
+            assert b"WARC-Profile" not in head and b"WARC-Refers-To" not in head
+        else:
+            assert b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" in head and size == 0
+    ids = [r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records]
+    assert len(set(ids)) == len(records)
+    assert {r.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for r in records if b"WARC-Refers-To" in r} <= set(ids)
     path = str(tmp_path / "files")
     warc.export_warc(archive, path, records_per_file=4)
     back = warc.read_warc(spark, path).collect()
@@ -71,3 +77,29 @@ def test_damage_is_noticed(spark, pages):
 
 def test_empty(spark, pages):
     assert warc.round_trip(pages.limit(0)).collect() == []
+
+
+def test_hot_payloads_meet_their_records_in_groups(spark, pages, multiset):
+    archive = warc.write_archive(pages, scratch(spark, "warc"), share=2)
+    assert archive.headers.agg(F.max("group")).first()[0] > 0
+    assert archive.payloads.count() == len({(h or "").encode() for _, _, h in ROWS})
+    assert multiset(warc.read_index(archive).collect()) == multiset(brute())
+
+
+def test_records_that_lie_are_noticed(spark, pages):
+    for wrong in (("Content-Length: 5", "Content-Length: 4"), ("sha1:", "sha1:0")):
+        archive, other = warc.write_archive(pages, scratch(spark, "warc")), scratch(spark, "warc")
+        archive.headers.withColumn("header", F.replace("header", F.lit(wrong[0]), F.lit(wrong[1]))).write.parquet(f"{other}/headers")
+        archive.payloads.write.parquet(f"{other}/payloads")
+        with pytest.raises(Exception, match="differ"):
+            warc.read_index(warc.Archive(spark, other)).collect()
+
+
+def test_very_long_payload(spark):
+    long = "\u00e9 <p>\r\n\r\n" * 400_000
+    rows = [(1, "u", long), (2, "u", long), (3, "u", long[:-1])]
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    data = long.encode()
+    assert got[2] == (len(data), hashlib.sha1(data).hexdigest(), "response", None)
+    assert got[1] == (len(data), hashlib.sha1(data).hexdigest(), "revisit", 2)
+    assert got[3][2] == "response"
