@@ -206,6 +206,21 @@ def word_ranges(
     return np.flatnonzero(inside & first), np.flatnonzero(inside & last) + 1
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[bytes, np.ndarray]:
+    """The words joined by single spaces, and where each begins in that.
+
+    Where a text's first word follows the last of the text before at once, no space stands between.
+    """
+    keep = ~separator[data]
+    after = ends[ends < len(data)]
+    keep[after] = True
+    line = data[keep]
+    line[separator[line]] = 0x20
+    length = ends - starts
+    length[: len(after)] += separator[data[after]]
+    return line.tobytes(), np.cumsum(length) - length
+
+
 def word_hashes(
     hasher: RangeHash, data: np.ndarray, doc_starts: np.ndarray, separator: np.ndarray = SEPARATOR, reaches: tuple[int, ...] = (1 << 40,), part: int = 1 << 20
 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.chunks import (
     CELL_BITS, ChunkTable, bits, by_page, located, numbered, opened, pack, page_of, planes, ranged, replies, sorted_out, unpack, with_text,
 )
-from millrace.llm.common import SEPARATOR, RangeHash, digests, dropped, frugal, mixed, word_hashes
+from millrace.llm.common import RangeHash, digests, dropped, frugal, joined_words, mixed, word_hashes
 
 BYTES, SKETCH = RangeHash(1), RangeHash(2)
 LOW = np.uint64((1 << CELL_BITS) - 1)
@@ -32,17 +32,9 @@ def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: n
     """Digests of the windows at ``at``: of their words, joined by one space each."""
     if not len(at):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    keep = ~SEPARATOR[data]
-    # one separator after each word, but where the next text begins at once; no window crosses that
-    after = ends[ends < len(data)]
-    keep[after] = True
-    line = data[keep]
-    line[SEPARATOR[line]] = 0x20
-    gap = np.zeros(len(ends), dtype=np.int64)
-    gap[: len(after)] = SEPARATOR[data[after]]
-    lengths = ends - starts
-    begin = np.cumsum(lengths + gap) - lengths - gap
-    return digests(line.tobytes(), begin[at], begin[at + size - 1] + lengths[at + size - 1])
+    line, begin = joined_words(data, starts, ends)
+    last = at + size - 1
+    return digests(line, begin[at], begin[last] + (ends - starts)[last])
 
 
 def repeated(values: np.ndarray) -> np.ndarray:
