@@ -7,6 +7,7 @@ is read back is parsed from their bytes.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,18 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import dropped, saved, scratch
+from millrace.operators.layout import drop_stored
+from millrace.sources.scratch import hold, settings
 
 CRLF = "\r\n"
 URN = "urn:millrace:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records that share a payload meet it in groups of about so many.
 SHARE = 1 << 16
+#: Payload bytes of a bucket.
+BUCKET_BYTES = 64 << 20
 
 
 @dataclass
 class Archive:
+    """Files under ``path``; ``table`` names the payloads in buckets by digest, for sessions that know it."""
+
     spark: SparkSession
     path: str
+    table: str | None = None
 
     @property
     def headers(self) -> DataFrame:
@@ -34,7 +42,7 @@ class Archive:
     @property
     def payloads(self) -> DataFrame:
         """Stored payloads; one that doesn't match its digest fails the query."""
-        stored = self.spark.read.parquet(f"{self.path}/payloads")
+        stored = self.spark.table(self.table) if self.table else self.spark.read.parquet(f"{self.path}/payloads")
         broken = F.raise_error(F.concat(F.lit("damaged payload "), "sha256"))
         return stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(broken))
 
@@ -59,8 +67,8 @@ def write_archive(
         "id", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"),
         F.sha2("payload", 256).alias("sha256"), F.monotonically_increasing_id().alias("row"),
     )
-    narrow = saved(narrow.hint("rebalance"), "warc-rows")
-    kinds = narrow.groupBy("sha256").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("records"))
+    narrow = saved(narrow, "warc-rows")
+    kinds = narrow.groupBy("sha256").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("records"), F.first("bytes").alias("stored"))
     kinds = saved(kinds.withColumn("groups", F.ceil(F.col("records") / share).cast("int")), "warc-payloads")
     typed = narrow.join(kinds, "sha256")
     response = (F.col("bytes") < least) | (F.col("best.row") == F.col("row"))
@@ -83,10 +91,17 @@ def write_archive(
         F.lit(CRLF + CRLF),
     )
     group = F.pmod(F.xxhash64("row"), F.col("groups")).cast("int")
-    typed.select(header.alias("header"), "sha256", group.alias("group")).write.parquet(f"{path}/headers")
-    rows.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    typed.select(header.alias("header"), "sha256", "groups", group.alias("group")).write.parquet(f"{path}/headers")
+    spark, table = pages.sparkSession, f"millrace_payloads_{uuid.uuid4().hex}"
+    total = kinds.agg(F.sum("stored")).first()[0] or 0
+    buckets = int(min(100_000, 1 + total // BUCKET_BYTES))
+    hold(table, lambda: drop_stored(spark, table))
+    # payloads are shuffled once: the tasks that tell equal ones apart each write a bucket
+    with settings(spark, spark_sql_shuffle_partitions=str(buckets), spark_sql_adaptive_coalescePartitions_enabled="false"):
+        distinct = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"])
+        distinct.write.bucketBy(buckets, "sha256").option("path", f"{path}/payloads").format("parquet").saveAsTable(table)
     dropped(narrow, kinds)
-    return Archive(pages.sparkSession, path)
+    return Archive(spark, path, table)
 
 
 def records(archive: Archive) -> DataFrame:
@@ -94,13 +109,16 @@ def records(archive: Archive) -> DataFrame:
 
     A revisit has no payload of its own.  Size and SHA-1 are worked out once for a stored payload.
     """
-    # payloads of several groups are few: one of ``SHARE`` records at most
-    several = archive.headers.where("group > 0").groupBy("sha256").agg(F.max("group").alias("last"))
-    stored = archive.payloads.join(several, "sha256", "left").select(
-        "sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("group"),
-    )
-    joined = archive.headers.join(stored, ["sha256", "group"])
+    stored = archive.payloads.select(
+        "sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
+    )
+    # headers go to where the payloads lie, but payloads of several groups, one of ``share`` records at
+    # most, go to their groups
+    several = archive.headers.where("groups > 1")
+    numbers = several.select("sha256", "groups").distinct()
+    spread = stored.join(numbers, "sha256").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    alone = archive.headers.where("groups = 1").drop("group").join(stored.hint("merge"), "sha256")
+    joined = alone.drop("groups").unionByName(several.drop("groups").join(spread, ["sha256", "group"]).drop("group"))
     end = F.lit(CRLF + CRLF).cast("binary")
     own = F.when(header_field("WARC-Type", F.col("header")) == "response", F.col("payload")).otherwise(F.lit(b""))
     return joined.select(F.concat(F.col("header").cast("binary"), own, end).alias("record"), "payload_bytes", "payload_digest")
