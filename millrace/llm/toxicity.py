@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RangeHash, batched, frugal, slices, word_hashes
+from millrace.llm.common import RangeHash, batched, dropped, frugal, saved, slices, word_hashes
 
 BUCKETS, WIDTHS = 1 << 16, (1, 2, 3)  # a bucket is a 16-bit number
 PAD = max(WIDTHS) - 1
@@ -188,9 +188,14 @@ def fold(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: str = "doc_id", text_column: str = "text", language: str = "lang") -> ToxicityModel:
-    """Train on at most ``max_rows`` labelled rows, the first by a hash of their ids, whole texts.
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_words: int = 16 << 20,
+    id_column: str = "doc_id", text_column: str = "text", language: str = "lang",
+) -> ToxicityModel:
+    """Train on at most ``max_rows`` labelled rows of at most ``max_words`` words in all, whole texts.
 
+    They are the first by a hash of their ids; the first that would exceed the words ends them, but
+    for the very first.  Six bytes a word come to the driver, so both bound its memory.
     Rows of fold 0 are never used.  Fold 1 does not train the network: all its labelled rows calibrate
     a threshold for each language that has both labels there, and one over all for the others.
     """
@@ -200,16 +205,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_column: s
     known = known.where(fold(id_column) != 1).orderBy(F.xxhash64(id_column), id_column).limit(max_rows)
     tongue = F.col(language) if language in docs.columns else F.lit(None)
     rows = batched(docs).select(id_column, F.col(text_column).alias("_text"), tongue.cast("string").alias("_lang"))
-    labelled = rows.join(F.broadcast(known), id_column).select("_text", "_toxic")
+    order = F.xxhash64(F.col(id_column), F.col(id_column).cast("string")).alias("_order")
+    labelled = rows.join(F.broadcast(known), id_column).select("_text", "_toxic", order)
 
     def hashed(batches):
         for batch in batches:
             for data, bounds, a, b in slices(batch.column(0)):
                 ids, bounds = features(data, bounds)
                 values = pa.ListArray.from_arrays(pa.array((bounds * ids.shape[1]).astype(np.int32)), pa.array(ids.ravel().view(np.int16)))
-                yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "toxic"])
-
-    got = labelled.mapInArrow(frugal(hashed), "ids array<short>, toxic int").toArrow().combine_chunks()
+                yield pa.RecordBatch.from_arrays([values, *(c.slice(a, b - a) for c in batch.columns[1:])], ["ids", "toxic", "place"])
+
+    words = saved(labelled.mapInArrow(frugal(hashed), "ids array<short>, toxic int, place long"), "toxicity-words")
+    sizes = words.select("place", "toxic", (F.size("ids") / len(REACH)).cast("long").alias("n"))
+    # one task, over ``max_rows`` sizes at most
+    before = Window.partitionBy(F.lit(0)).orderBy("place", "n", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, end = sizes.withColumn("all", F.sum("n").over(before)).agg(F.min("place"), F.min(F.when(F.col("all") > max_words, F.col("place")))).first()
+    chosen = words if end is None else words.where((F.col("place") < end) | (F.col("place") == first))
+    got = chosen.select("ids", "toxic").toArrow().combine_chunks()
+    dropped(words)
     y = got.column("toxic").to_numpy().astype(np.float32)
     texts = [x.values.to_numpy().view(np.uint16).reshape(-1, len(REACH)) for x in got.column("ids")]
     # rows come in any order: fix one, so that equal tables give equal models

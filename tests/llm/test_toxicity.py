@@ -114,3 +114,31 @@ def test_all_calibrating_labels_count(spark):
     for lang, threshold in model.thresholds.items():
         mine = [r for r in got if r["lang"] == lang]
         assert f1(mine, threshold) >= max(f1(mine, r["score"]) for r in mine) - 0.02
+
+
+def test_training_words_are_bounded(spark, monkeypatch):
+    """The driver gets as many whole texts, in the order of their ids' hashes, as the words allow."""
+    df = labelled(spark, 300)
+    seen = []
+    start = X.TextCnn.start.__func__
+    monkeypatch.setattr(X.TextCnn, "start", classmethod(lambda cls, docs, labels, **how: seen.append([len(d) for d in docs]) or start(cls, docs, labels, **how)))
+    for words in (1 << 40, 4000, 1000):
+        X.fit(df.drop("toxic"), df.select("doc_id", "toxic"), max_words=words)
+    whole, some, few = seen
+    assert sum(whole) > 4000 >= sum(some) > 3800 and 1000 >= sum(few) > 800
+    assert set(few) <= set(some) <= set(whole)
+
+
+def test_a_first_text_longer_than_the_bound(spark):
+    df = labelled(spark, 300)
+    assert X.fit(df.drop("toxic"), df.select("doc_id", "toxic"), max_words=1).network is None
+
+
+def test_held_out_figures_of_the_test_tables(spark):
+    """What the README states: labelled rows of fold 0 of sf0.1, which nothing learns from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = X.score(docs, X.fit(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in held)
+    recall, precision = hits / sum(r["toxic"] for r in held), hits / sum(r["predicted"] for r in held)
+    print("held out:", hits, sum(r["toxic"] for r in held), sum(r["predicted"] for r in held))
+    assert recall > 0.85 and precision > 0.85
