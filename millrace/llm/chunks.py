@@ -64,7 +64,7 @@ class ChunkTable:
 
     A task's chunks go to buckets of about ``bucket_bytes``, each to its own, so that later tasks
     are of even size.  Chunks and pages grow with the input, within bounds, so that a chunk's
-    question to a page still holds several hashes when there are very many of both: 0.5 to 32 MB of
+    question to a page still holds several hashes when there are very many of both: 0.5 to 16 MB of
     text, and up to eight times an operator's usual number of hashes a page.
 
     ``note(data, bounds)`` may add a packed value that later passes read instead of working it out
@@ -82,7 +82,7 @@ class ChunkTable:
         with narrow_reads(self.spark):
             sizes = sizes.first()
         self.total, tasks = int(sizes[0] or 0), int(sizes[1] or 0) + 1
-        chunk_bytes = chunk_bytes or int(np.clip(self.total >> 15, 1 << 19, 32 << 20))
+        chunk_bytes = chunk_bytes or int(np.clip(self.total >> 15, 1 << 19, 16 << 20))
         each = max(1, -(-self.total // (tasks * bucket_bytes)))  # buckets for every task
         self.buckets = min(tasks * each, 100_000)  # Spark's limit; beyond it several share a bucket
         share, keys = max(1, -(-self.total // (tasks * each))), even_keys(self.buckets)
