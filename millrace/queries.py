@@ -69,7 +69,8 @@ def statement(name: str, tables: str, sql: str, oracle: str | None = None) -> No
 @contextmanager
 def own_views(spark: SparkSession, names: list[str]):
     """Names for views of ours; views that the caller has under them come back."""
-    before = {n: spark.table(n) for n in names if any(t.name == n.lower() and t.isTemporary for t in spark.catalog.listTables(pattern=n))}
+    catalog = spark._jsparkSession.sessionState().catalog()
+    before = {n: spark.table(n) for n in names if catalog.getTempView(n).isDefined()}
     try:
         yield
     finally:
