@@ -230,17 +230,20 @@ class Benchmark:
         best: dict[int, tuple[float, int, int]] = {}
         for n, hits in over.items():
             m = n - width + 1
-            # stretches of window starts that have a hit among their shingles
-            h = np.array(hits)
+            # window starts that have a hit among their shingles, each once
+            h = np.unique(np.array(hits))
             least, most = np.maximum(h - m + 1, 0), np.minimum(h, len(own) - m)
-            stretches = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(a, b + 1) for a, b in zip(least.tolist(), most.tolist(), strict=True))])
-            starts = np.unique(stretches).astype(np.int64)
+            least = np.maximum(least, np.concatenate([[0], most[:-1] + 1]))
+            each = np.maximum(most - least + 1, 0)
+            starts = np.repeat(least - (np.cumsum(each) - each), each) + np.arange(each.sum())
             for k in range(0, len(starts), 4096):
                 for run in np.split(some := starts[k : k + 4096], np.flatnonzero(np.diff(some) > 1) + 1):
                     a, b = int(run[0]), int(run[-1]) + m
                     w, found = self.index[n].candidates(fingerprints(own[a:b], run - a, m))
                     for s, p in zip(run[w].tolist(), found.tolist(), strict=True):
                         item = int(self.items[n][p])
+                        if item in best and best[item][0] == 1.0:
+                            continue  # the first of equals stays
                         i, j = np.searchsorted(hit, [s, s + m])
                         got = self.similarity(item, number[i:j], m)
                         if got >= self.threshold and (item not in best or got > best[item][0]):

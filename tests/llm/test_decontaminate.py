@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -167,3 +168,16 @@ def test_very_long_document(spark):
     df = spark.createDataFrame([(1, filler + " " + item + " " + filler), (2, filler), (3, (item + " ") * 2000)], "doc_id long, text string")
     got = D.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["similarity"], r["first_word"]) for r in got) == [(1, 1.0, 300_000), (3, 1.0, 0)]
+
+
+def test_memory_of_a_text_that_is_all_hits():
+    """Window starts are listed once each, not once for every hit that they lie over."""
+    rnd = random.Random(8)
+    item = " ".join(f"w{rnd.randrange(1000)}" for _ in range(400))
+    index, data = D.Benchmark([item]), np.frombuffer(((item + " ") * 400).encode(), np.uint8)
+    tracemalloc.start()
+    found = list(index.matches(data, np.array([0, len(data)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:4] for f in found] == [(0, 0, 1.0, 0)]
+    assert peak < 100 << 20
