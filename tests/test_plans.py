@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace import Engine
 from millrace.operators.joins import chain_join, hash_join, merge_join
-from millrace.operators.layout import buckets_for, store_sorted, stored
+from millrace.operators.layout import buckets_for, skewed, store_sorted, stored
 from millrace.operators.ordering import limited, top
 from millrace.plans.inspect import estimated_bytes, operators, plan_text, pushed_filters, read_columns
 from millrace.queries import QUERIES, Tables
@@ -75,6 +75,27 @@ def test_stored_order_saves_the_shuffle(t, tmp_path):
     assert joined.count() == t.lineitem.count()
 
 
+def test_frequent_keys_are_stored_in_ranges(spark, tmp_path):
+    rows = spark.range(8000, numPartitions=16)
+    other = rows.selectExpr("id as j")
+    assert not skewed(rows, "id", 8) and not skewed(rows.limit(0), "id", 8)
+    often, null = (rows.selectExpr(f"if(id < 7000, {hot}, id) as k", "id as v") for hot in ("7", "null"))
+    for name, df in (("stored_hot", often), ("stored_null", null)):
+        assert skewed(df, "k", 8)
+        store_sorted(df, name, "k", 8, str(tmp_path / name))
+        copy = stored(spark, name)
+        assert sorted(copy.collect(), key=str) == sorted(df.collect(), key=str)
+        joined = merge_join(copy, other, [("k", "j")])
+        assert "Exchange" in operators(joined) and joined.count() == df.where("k is not null").count()
+        # no file holds more than a small part of the rows, and each is in order
+        sizes = copy.groupBy("_metadata.file_path").count().collect()
+        assert len(sizes) == 8 and max(r["count"] for r in sizes) < df.count() / 3
+        for r in sizes:
+            held = [x["k"] for x in spark.read.parquet(r["file_path"]).collect()]
+            assert held == sorted(held, key=lambda k: (k is not None, k))
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_estimate_grows_with_the_table(t):
     assert estimated_bytes(t.region) < estimated_bytes(t.lineitem)
 
