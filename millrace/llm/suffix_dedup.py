@@ -48,26 +48,31 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def contexts(data: np.ndarray, bounds: np.ndarray, size: int, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start, and anchor, of every context of texts laid end to end.
 
-    Grams are hashed in parts of ``part`` window starts, for the working memory.
+    Grams are hashed in parts of ``part`` window starts, and of a part only its contexts are kept.
     """
     gram = size // 2
-    anchor = np.zeros(max(0, len(data) - size + 1), dtype=np.int64)
+    n = max(0, len(data) - size + 1)
     place = np.uint64((1 << 31) - 1)  # Spark's own limit of a text
-    for a in range(0, len(anchor), part):
+    fits, begins = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    for a, b in pairwise(bounds.tolist()):
+        fits[a : max(a, b - size + 1)] = True
+    anchors, before = [np.zeros(0, dtype=np.int64)], -1
+    for a in range(0, n, part):
         hashes = GRAMS.windows(GRAMS.prefix(data[a : a + part + size - 1]), gram)
         hashes &= ~place
         hashes |= np.arange(len(hashes), dtype=np.uint64)
-        least = sliding_least(hashes, size - gram + 1)
-        anchor[a : a + len(least)] = (least & place).astype(np.int64) + a
-    fits = np.zeros(len(data), dtype=bool)
-    for a, b in pairwise(bounds.tolist()):
-        fits[a : max(a, b - size + 1)] = True
-    at = np.flatnonzero(fits[: len(anchor)])
-    anchor = anchor[at]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    return at[first], at[np.append(first[1:], len(at)) - 1] if len(at) else at, anchor[first]
+        anchor = (sliding_least(hashes, size - gram + 1) & place).astype(np.int64) + a
+        mine = fits[a : a + len(anchor)]
+        new = mine.copy()
+        new[1:] &= (anchor[1:] != anchor[:-1]) | ~mine[:-1]
+        if a and fits[a - 1] and anchor[0] == before:
+            new[0] = False
+        begins[a : a + len(anchor)] = new
+        anchors.append(anchor[new])
+        before = int(anchor[-1])
+    # a context ends where its text's windows end or the next one begins
+    last = fits[:-1] & (~fits[1:] | begins[1:])
+    return np.flatnonzero(begins), np.flatnonzero(last), np.concatenate(anchors)
 
 
 class Ranks:
@@ -185,14 +190,22 @@ class View:
         self.lo, self.size, self.data = lo.astype(np.int64), size, c.data
         self.hi = self.lo + span
         anchor = self.lo + offset
-        self.prefix = GRAMS.prefix(c.data)
-        self.key = GRAMS.between(self.prefix, anchor, anchor + size // 2)
+        self.key = self.hashes(anchor, anchor + size // 2)
         texts = np.searchsorted(c.bounds, self.lo, side="right") - 1
         doc = np.asarray(c.ids.fill_null(LAST).to_numpy(zero_copy_only=False), dtype=np.int64)
         self.doc_of = doc[texts] if len(texts) else texts
 
-    def hashes(self, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return GRAMS.between(self.prefix, lo, end)
+    def hashes(self, lo: np.ndarray, end: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+        """Hashes of data[lo:end] for short ranges whose starts ascend, in parts of ``part`` starts, for the working memory."""
+        out = np.empty(len(lo), dtype=np.uint64)
+        k = 0
+        while k < len(lo):
+            a = int(lo[k])
+            to = int(np.searchsorted(lo, a + part))
+            prefix = GRAMS.prefix(self.data[a : int(end[k:to].max())])
+            out[k:to] = GRAMS.between(prefix, lo[k:to] - a, end[k:to] - a)
+            k = to
+        return out
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and documents of all windows of the chosen contexts."""
@@ -353,7 +366,7 @@ class SuffixDedup:
             for c in opened(batches):
                 v, passes = View(c, size), sorted_out(c.answers, 3)
                 chosen, whole, at, single = asked(c, v, passes[0])
-                steps = np.zeros(len(c.data) + 1, dtype=np.int64)
+                steps = np.zeros(len(c.data) + 1, dtype=np.int32)
 
                 def cover(lo, end, steps=steps):
                     np.add.at(steps, lo, 1)
@@ -373,7 +386,7 @@ class SuffixDedup:
                         place = np.repeat(v.lo[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
                         flags = np.unpackbits(np.frombuffer(passes[2][page], np.uint8), count=len(place)).astype(bool)
                         cover(place[flags], place[flags] + size)
-                yield use(c, np.cumsum(steps[:-1]) > 0)
+                yield use(c, np.cumsum(steps[:-1], dtype=np.int32) > 0)
 
         try:
             first = chunks.saved(replies(chunks.rows(), count, pages, weigh).hint("rebalance"), "anchors")

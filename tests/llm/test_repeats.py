@@ -2,17 +2,19 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import substring_dedup, suffix_dedup
-from millrace.llm.chunks import ChunkTable, even_keys, pack, spark_hash, unpack
+from millrace.llm.chunks import Chunk, ChunkTable, even_keys, pack, spark_hash, unpack
 from millrace.llm.common import SEPARATOR, RangeHash, digests, word_hashes, word_ranges
-from millrace.llm.suffix_dedup import contexts, later_windows, maximal_repeats, sliding_least
+from millrace.llm.suffix_dedup import View, contexts, later_windows, maximal_repeats, sliding_least
 
 from .conftest import words
 
@@ -143,6 +145,29 @@ def test_contexts_cover_every_window_once():
     assert ((anchor >= hi) & (anchor <= lo + 50)).all()
 
 
+@pytest.mark.parametrize("part", [1, 7, 64, 300])
+def test_contexts_in_parts(part):
+    rng = np.random.default_rng(part)
+    for alphabet in (1, 2, 90):
+        bounds = np.concatenate([[0], np.cumsum([400, 0, 99, 100, 101, 700])])
+        data = rng.integers(97, 97 + alphabet, bounds[-1]).astype(np.uint8)
+        for got, want in zip(contexts(data, bounds, 100, part), contexts(data, bounds, 100), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_memory_of_contexts_is_a_small_multiple_of_a_long_text():
+    data = np.random.default_rng(9).integers(97, 123, 8 << 20).astype(np.uint8)
+    tracemalloc.start()
+    lo, hi, anchor = contexts(data, np.array([0, len(data)]), 100)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(data)
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    note = pack(lo.astype(np.uint32), (hi - lo).astype(np.uint8), (anchor - lo).astype(np.uint8))
+    view = View(Chunk(0, pa.array([1]), data, np.array([0, len(data)]), np.zeros(1, dtype=bool), note, {}, None), 100)
+    assert len(view.key) == len(lo) and tracemalloc.get_traced_memory()[1] - held < 8 * len(data)
+    tracemalloc.stop()
+
+
 def test_sliding_least():
     x = np.random.default_rng(1).integers(0, 50, 200)
     for width in (1, 2, 7, 51, 200):
